@@ -12,6 +12,7 @@ the order of a hash of their text; an empty table gives an empty file set; colum
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,7 @@ class LibraryPieces(PieceTable):
     library itself cuts a text before anything else; a piece that holds such a token is encoded alone."""
 
     def __init__(self, path: str, size: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__(size)
@@ -48,7 +50,7 @@ class LibraryPieces(PieceTable):
 
     def learn(self, missing: list[str]) -> list[bytes]:
         def encode(text: str) -> np.ndarray:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<i4")
+            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
 
         if not self.added:
             return [encode(x).tobytes() for x in missing]
@@ -56,13 +58,11 @@ class LibraryPieces(PieceTable):
         odd = {i for i, x in enumerate(missing) if "<" in x and any(a in x for a in self.added)}
         known = [encode(x).tobytes() if i in odd else b"" for i, x in enumerate(missing)]
         plain = [i for i in range(len(missing)) if i not in odd]
-        for j in range(0, len(plain), 1000):
-            part = plain[j : j + 1000]
-            ids = encode(cut.join(missing[i] for i in part))
-            at = np.flatnonzero(ids == cut_id)
-            data = ids.tobytes()
-            for i, a, b in zip(part, np.r_[0, at + 1] * 4, np.r_[at, len(ids)] * 4, strict=True):
-                known[i] = data[a:b]
+        ids = encode(cut.join(missing[i] for i in plain))
+        at = np.flatnonzero(ids == cut_id)
+        data = ids.tobytes()
+        for i, a, b in zip(plain, (np.r_[0, at + 1] * 4).tolist(), (np.r_[at, len(ids)] * 4).tolist(), strict=False):  # without plain pieces there is an empty run
+            known[i] = data[a:b]
         return known
 
 
