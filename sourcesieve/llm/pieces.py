@@ -31,7 +31,12 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     edges = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-    return edges - edges[0], flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+    edges, codes = edges - edges[0], flat.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(flat.dictionary, "").as_py()  # before and after white space at the ends of a text
+    if empty >= 0:
+        kept = codes != empty
+        codes, edges = codes[kept], np.r_[0, np.cumsum(kept)][edges]
+    return edges, codes, flat.dictionary
 
 
 def gather(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,9 +8,9 @@ Training reads a bounded sample of labelled rows: SAMPLE_ROWS rows of the traini
 fewer if their texts pass SAMPLE_BYTES together. The model is BUCKETS x DIM numbers. Scoring reads every whole text and shuffles
 nothing.
 
-Edge cases: null and empty texts have the average of no pieces, zero, and so the score of the bias alone; a null key is in no
-held-out fold and has no label; without any labelled row, or with one class only, the score is the share of label 1 (1 without
-rows); keys that repeat are each scored; an empty table gives no rows.
+Edge cases: texts without pieces (null, empty, white space) score the sample's share of label 1; a null key is in no held-out fold
+and has no label; without any labelled row, or with one class only, every score is that share (1 without rows), within a
+millionth; keys that repeat are each scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ class Grams(PieceTable):
 class Model:
     vectors: np.ndarray  # BUCKETS x DIM
     output: np.ndarray  # DIM + 1: difference of the two softmax rows, and of their biases
+    prior: float  # share of label 1 in the sample, for documents without pieces
 
     def score(self, documents: np.ndarray) -> np.ndarray:
         z = documents @ self.output[:-1] + self.output[-1]
@@ -94,14 +95,20 @@ def piece_vectors(model: Model, lengths: np.ndarray, buckets: np.ndarray) -> np.
     return out / np.maximum(lengths, 1)[:, None].astype(np.float32)
 
 
-def documents(model: Model, texts: pa.Array, table: Grams) -> np.ndarray:
+def documents(model: Model, texts: pa.Array, table: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """The average of each text's pieces, and how many it has."""
     edges, codes, lengths, buckets = features(texts, table)
     vectors = piece_vectors(model, lengths, buckets)
     out = np.empty((len(edges) - 1, vectors.shape[1]), dtype=np.float64)
     for i in range(0, len(out), 256):
         part = edges[i : i + 257]
         out[i : i + 256] = sums(vectors[codes[part[0] : part[-1]]], part - part[0])
-    return out / np.maximum(np.diff(edges), 1)[:, None]
+    return out / np.maximum(np.diff(edges), 1)[:, None], np.diff(edges)
+
+
+def scores(model: Model, texts: pa.Array, table: Grams) -> np.ndarray:
+    average, n = documents(model, texts, table)
+    return np.where(n > 0, model.score(average), model.prior)
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
@@ -111,9 +118,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     vectors = ((random.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM).astype(np.float32)
     output = np.r_[random.standard_normal(DIM) / DIM, 0.0]
     output[-1] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    model = Model(vectors, output)
+    model = Model(vectors, output, share)
     if not 0 < share < 1:
-        return Model(vectors * 0, output)
+        return Model(vectors * 0, output, share)
     # a document as shares of buckets, once for all epochs
     table = Grams()
     bags: list[tuple[np.ndarray, np.ndarray]] = []
@@ -186,7 +193,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _TABLES.setdefault("grams", Grams(100_000))
         for batch in blocks(batches, at):
-            score = shared.value.score(documents(shared.value, batch.column(at), table))
+            score = scores(shared.value, batch.column(at), table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -3,7 +3,7 @@ r"""Document fingerprints from closed syncmers, and their likeness by matching a
 A run of k units is an anchor if the smallest hash among its inner runs of s units stands first or last. That depends on the run
 alone, so an edit moves no anchor outside the units it touches. A fingerprint keeps the ANCHORS anchors of smallest hash, each
 with its place, in two sections: over words (runs without ASCII white space; k 3, s 1), and, for texts of up to SHORT code points,
-over characters (k 4, s 1, with empty units around), where words are too coarse. Likeness compares the finest section that both have: matches among the
+over characters (k 4, s 1, with empty units before), where words are too coarse. Likeness compares the finest section that both have: matches among the
 smallest hashes of the union, a match counting where its displacement agrees with the median displacement.
 
 Everything is DataFrame functions over whole texts: arrays of units, so work is linear in a text's length.
@@ -54,8 +54,8 @@ def _anchors(units: Column, k: int, s: int, keep: int) -> Column:
 def fingerprint(text: Column, keep: int = ANCHORS) -> Column:
     """(words, chars): the anchors of both sections; chars is null for texts of over SHORT code points."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    pad = F.array_repeat(F.lit(""), CHARS[0] - 1)  # so that a text of any length has runs of k, and its ends are anchors of their own
-    chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(pad, F.split(text, ""), pad))
+    pad = F.array_repeat(F.lit(""), CHARS[0] - 1)  # so that a text of any length has runs of k
+    chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(pad, F.split(text, "")))
     return F.struct(_anchors(words, *WORDS, keep).alias("words"), F.when(F.length(text) <= SHORT, _anchors(chars, *CHARS, keep)).alias("chars"))
 
 

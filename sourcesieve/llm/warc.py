@@ -42,11 +42,12 @@ def sha1_base32(data: Column) -> Column:
 def resolved(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
     """The rows with payload_bytes, digest and refers_to: the key of the response that a row revisits, else null."""
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    pages = pages.drop("payload_bytes", "digest", "refers_to", "_keeper", "_digest")  # these columns are made here
     rows = pages.withColumns({"payload_bytes": F.octet_length(data).cast("long"), "digest": sha1_base32(data)})
-    heads = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(key).alias("keeper"), F.count("*").alias("n"))
-    kept = written(heads.filter("n > 1").select(F.col("digest").alias("_digest"), "keeper"), "warc-keepers")  # now Spark knows its size
+    heads = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(key).alias("_keeper"), F.count("*").alias("n"))
+    kept = written(heads.filter("n > 1").select(F.col("digest").alias("_digest"), "_keeper"), "warc-keepers")  # now Spark knows its size
     found = rows.join(kept, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") >= least), "left")
-    return found.withColumn("refers_to", F.when(F.coalesce(F.col(key) != F.col("keeper"), F.col("keeper").isNotNull()), F.col("keeper"))).drop("_digest", "keeper")
+    return found.withColumn("refers_to", F.when(F.coalesce(F.col(key) != F.col("_keeper"), F.col("_keeper").isNotNull()), F.col("_keeper"))).drop("_digest", "_keeper")
 
 
 def safe(value: Column) -> Column:

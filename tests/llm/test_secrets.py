@@ -1,0 +1,77 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from sourcesieve.llm import secrets
+from sourcesieve.llm.secrets import base_spans, entropy_stretches, find_spans, in_order
+
+ALLOWED = tuple(re.compile(a) for a in secrets.ALLOWED)
+
+
+def plain_base(text):
+    found = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return in_order(found + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def random_texts():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", "ſecret", "toKen", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef", "0123456789abcdef" * 2, "abc", "é😀", "\n", "x.y-z_", "Zm9vYmFy" * 4]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+
+
+def test_base_patterns():
+    import pyarrow as pa
+
+    texts = random_texts()
+    for text, (base, added) in zip(texts, secrets.scan(pa.array(texts))):
+        assert base == plain_base(text), text
+        assert find_spans(text, ALLOWED) == (base, added)
+        assert all(b <= x[1] or x[2] <= a for x in added for _, a, b in base)
+
+
+def test_incremental_entropy_is_entropy():
+    rng = random.Random(1)
+    for _ in range(400):
+        run = "".join(rng.choice("abcdefgh0123XYZ+/"[: rng.randrange(2, 17)]) for _ in range(rng.randrange(60)))
+        threshold = rng.choice([1.5, 2.5, 3.2, 3.5])
+        covered = set()
+        for i in range(len(run) - 19):
+            counts = Counter(run[i : i + 20]).values()
+            if -sum(c / 20 * math.log2(c / 20) for c in counts) >= threshold - 1e-9:
+                covered |= set(range(i, i + 20))
+        assert {x for a, b in entropy_stretches(run, threshold) for x in range(a, b)} == covered
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("key qZ8vT1xW9rKp3LmN7sBd2FhG", ["entropy"]),
+    ("id 123e4567-e89b-12d3-a456-426614174000", []),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", []),
+    ("this-is-a-long-readable-slug-of-words", []),
+    ("-" * 80, []),
+    ("thethethethethethethethethe", []),
+])
+def test_candidates(text, kinds):
+    base, added = find_spans(text, ALLOWED)
+    assert [k for k, _, _ in base + added] == kinds
+
+
+def test_digests_and_redaction(spark):
+    data = [(1, "é token=abcdef1 end", 19, "x"), (2, None, None, "y"), (None, "", 0, "z"), (3, "plain", 5, None), (3, "plain", 5, None), (4, "a " * 100_000 + "password: hunter22", 200_018, "w")]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, spans string")
+    got = {r.doc_id: r for r in secrets.digests(df.drop("spans")).collect()}
+    assert (got[1].n_assign, got[1].spans, got[4].spans) == (1, "assign:2:15", "assign:200000:200018")
+    assert got[2].base_sha256 == got[None].base_sha256 and got[2].spans == ""
+    red = {r.spans: (r.text, r.n_chars) for r in secrets.redact(df, length="n_chars").collect()}
+    assert red["x"] == ("é [assign] end", 14) and red["y"] == (None, None) and red["z"] == ("", 0) and red["w"] == ("a " * 100_000 + "[assign]", 200_008)
+    assert secrets.redact(df, length="n_chars").columns == df.columns
+    assert secrets.digests(df.limit(0)).collect() == secrets.redact(df.limit(0)).collect() == []
+
+
+def test_overlapping_spans_are_replaced_once():
+    text = "token=0123456789abcdef0123456789abcdef!"
+    base = in_order(base_spans(text))
+    assert secrets.redacted(text, base) == "[assign]!"
