@@ -98,9 +98,14 @@ def source_rows(path: str, data: bytes, program: Program, wanted: Wanted) -> Ite
 
 
 def node_rows(path: str, data: bytes, tokens: list[tuple[int, int, int]], root: Node, program: Program, wanted: Wanted) -> Iterator[tuple]:
-    """Rows of a tree's nodes, children before parents. enter and exit count steps of a depth-first walk."""
-    ids, clock = 0, 0
-    paths = program.paths
+    """Rows of a tree's nodes, children before parents. enter and exit count steps of a depth-first walk.
+
+    Rows are made for wanted kinds alone, and texts and paths for kinds whose rules look at them.
+    """
+    paths, gaps = program.paths, wanted.gaps
+    every, texts = wanted.nodes is None, wanted.node_texts
+    rows: list[list] = []
+    ids = clock = 0
 
     def span(n: Node) -> tuple[int, int]:
         if n.count:
@@ -108,42 +113,50 @@ def node_rows(path: str, data: bytes, tokens: list[tuple[int, int, int]], root:
         at = tokens[n.first][1] if n.first < len(tokens) else tokens[-1][2] if tokens else 0
         return at, at
 
-    def text(n: Node, wanted_texts: frozenset[int] | None) -> bytes | None:
-        a, b = span(n)
-        return data[a:b] if _in(n.kind, wanted_texts) else None
+    def text(n: Node) -> bytes | None:
+        return data[slice(*span(n))] if texts is None or n.kind in texts else None
 
-    def path_texts(n: Node) -> list[bytes | None] | None:
-        if not paths:
-            return None
+    def path_texts(n: Node) -> list[bytes | None]:
         ends = [first_field(n, p) for p in paths]
         return [data[slice(*span(x))] if x else None for x in ends]
 
-    rows: list[list] = []
-
-    def walk(n: Node, parent: Node | None, ordinal: int | None, name: str | None, above: tuple[int, ...]) -> list:
+    def walk(n: Node, parent_kind: int | None, ordinal: int | None, name: str | None, above: list[int], left: Node | None) -> list | None:
         nonlocal ids, clock
         enter = clock
         clock += 1
-        below = [walk(child, n, i, f, (*above, n.kind)) for i, (f, child) in enumerate(n.children)]
-        own, ids = ids, ids + 1
+        below = []
+        if n.children:
+            under, before = [*above, n.kind], None
+            for i, (f, child) in enumerate(n.children):
+                if row := walk(child, n.kind, i, f, under, before):
+                    below.append(row)
+                before = child
+        own = ids
+        ids += 1
         leave = clock
         clock += 1
+        for row in below:
+            row[7], row[16] = own, leave
+        if not every and n.kind not in wanted.nodes:
+            return None
         a, b = span(n)
-        left = gap = None
-        if parent is not None and ordinal:
-            left = parent.children[ordinal - 1][1]
-            if n.count and left.count and wanted.gaps:
-                gap = data[span(left)[1] : a]
-        row = [path, "node", own, n.kind, a, b, text(n, wanted.node_texts), None, parent.kind if parent else None, ordinal, name, list(above), n.first, n.count, enter, leave, None, len(above), path_texts(n), left.kind if left else None, text(left, wanted.node_texts) if left else None, path_texts(left) if left else None, gap, max(gap.count(b"\n") - 1, 0) if gap is not None else 0]
-        for child in below:
-            child[7], child[16] = own, leave
+        row = [path, "node", own, n.kind, a, b, text(n) if texts is None or texts else None, None, parent_kind, ordinal, name, above, n.first, n.count, enter, leave, None, len(above), None, None, None, None, None, 0]
+        if paths:
+            row[18] = path_texts(n)
+        if left is not None:
+            row[19] = left.kind
+            if texts is None or texts:
+                row[20] = text(left)
+            if paths:
+                row[21] = path_texts(left)
+            if gaps and n.count and left.count:
+                row[22] = gap = data[span(left)[1] : a]
+                row[23] = max(gap.count(b"\n") - 1, 0)
         rows.append(row)
         return row
 
-    walk(root, None, None, None, ())
-    for row in rows:
-        if _in(row[3], wanted.nodes):
-            yield tuple(row)
+    walk(root, None, None, None, [], None)
+    yield from map(tuple, rows)
 
 
 def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> DataFrame:
@@ -153,7 +166,8 @@ def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> Data
         rows: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), ARROW, strict=True)], names=SCHEMA.names)
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), k) if x[0] is x[-1] is None and not any(map(_some, x)) else pa.array(x, k) for x, k in zip(columns, ARROW, strict=True)], names=SCHEMA.names)
 
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -168,6 +182,10 @@ def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> Data
     return sources.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
 
 
+def _some(x: object) -> bool:
+    return x is not None
+
+
 def tokens_frame(sources: DataFrame, program: Program, texts: bool = True) -> DataFrame:
     """tokens(path, tok_idx, token_id, name, text, start, end)"""
     rows = scan_and_parse(sources, program, Wanted(tokens=None, token_texts=None if texts else frozenset(), errors=False))
