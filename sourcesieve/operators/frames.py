@@ -193,6 +193,26 @@ def tokens_frame(sources: DataFrame, program: Program, texts: bool = True) -> Da
     return rows.select("path", F.col("idx").alias("tok_idx"), F.col("kind").alias("token_id"), F.get(names, F.col("kind")).alias("name"), "text", "start", "end")
 
 
+def token_lists(sources: DataFrame, program: Program) -> DataFrame:
+    """(path, tokens): each source's emitted tokens as one list, null where it doesn't scan; made where the source is, without a shuffle.
+
+    For consumers that want whole sources; rows of tokens_frame() are what large sources should be read as.
+    """
+    names = [t.name for t in program.tokens]
+    kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, _ = _tools(program)
+        for batch in batches:
+            lists = []
+            for content in batch.column(1):
+                found, failed = scanner.scan(content.as_py() or b"")
+                lists.append(None if failed >= 0 else [{"name": names[t], "start": a, "end": b} for t, a, b in found if t not in scanner.skip])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], names=["path", "tokens"])
+
+    return sources.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, tokens array<struct<name:string,start:bigint,end:bigint>>")
+
+
 def nodes_frame(sources: DataFrame, program: Program, texts: bool = False) -> DataFrame:
     """nodes(path, node_id, kind, kind_name, parent_id, ...)"""
     rows = scan_and_parse(sources, program, Wanted(nodes=None, node_texts=None if texts else frozenset(), errors=False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sourcesieve.operators import diagnostics as D
-from sourcesieve.operators.frames import Wanted, errors_frame, nodes_frame, scan_and_parse, tokens_frame
+from sourcesieve.operators.frames import Wanted, errors_frame, nodes_frame, scan_and_parse, token_lists, tokens_frame
 from sourcesieve.plans.program import Program, compile_document
 
 
@@ -21,6 +21,9 @@ class Analysis:
     def tokens(self, sources: DataFrame, texts: bool = True) -> DataFrame:
         return tokens_frame(self.in_scope(sources), self.program, texts)
 
+    def token_lists(self, sources: DataFrame) -> DataFrame:
+        return token_lists(self.in_scope(sources), self.program)
+
     def nodes(self, sources: DataFrame, texts: bool = False) -> DataFrame:
         return nodes_frame(self.in_scope(sources), self.program, texts)
 

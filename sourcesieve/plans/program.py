@@ -70,6 +70,11 @@ class Program:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "scanner"}  # tasks build their own
 
+    @property
+    def warnings(self) -> tuple[str, ...]:
+        """What is allowed but can't be meant: rules for tokens that are never emitted."""
+        return tuple(f'Token "{self.tokens[r.target].name}" is skipped, so a rule that matches it never reports.' for r in self.rules if not r.node and self.tokens[r.target].skip)
+
     @property
     def paths(self) -> tuple[tuple[str, ...], ...]:
         """The field paths that rules follow, each once."""

@@ -107,6 +107,17 @@ def scan_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(Analysis(WORDS).tokens(docs(spark, sf_dir), texts=False), "path", "name")
 
 
+@query(
+    WORD_PIECES
+    + f"""SELECT src.path, sha256(coalesce(string_agg(CASE WHEN {IS_WORD} THEN 'Word' ELSE 'Number' END || ':' || start_byte || '-' || end_byte, ' ' ORDER BY i) FILTER ({IS_WORD} OR {IS_NUMBER}), '')) AS tokens_sha256
+FROM src LEFT JOIN pieces ON src.path = pieces.path GROUP BY src.path"""
+)
+def scan_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = Analysis(WORDS).token_lists(docs(spark, sf_dir))
+    shown_ = F.transform("tokens", lambda t: F.concat(t["name"], F.lit(":"), t["start"].cast("string"), F.lit("-"), t["end"].cast("string")))
+    return lists.select("path", F.sha2(F.array_join(shown_, " "), 256).alias("tokens_sha256"))
+
+
 @query(
     pieces("<!|</|<|/>|>|[A-Za-z0-9]+|[^A-Za-z0-9<>]", "SELECT 'pages/' || page_id || '.html' AS path, coalesce(html, '') AS content FROM pages").replace("[^A-Za-z0-9<>]'", "[^A-Za-z0-9<>/]+|/'")
     + f"SELECT path, CASE t WHEN '<!' THEN 'Bang' WHEN '</' THEN 'Close' WHEN '<' THEN 'Open' WHEN '/>' THEN 'Void' WHEN '>' THEN 'End' ELSE 'Name' END AS name, {SUMS} FROM pieces WHERE regexp_matches(t, '^[A-Za-z0-9<>]') OR t = '/>' GROUP BY ALL"

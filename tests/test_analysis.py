@@ -127,3 +127,11 @@ def test_counts_and_status(spark):
 def test_comparisons(spark, operator, want):
     doc = f"scope {{ include \"**\" }} tokens {{ W = 'a'..'z' S = ' ' skip }} rules {{ rule R {{ match W where W.text {operator} \"b\" report info at W \"m\" }} }}"
     assert [x[3] for x in run(spark, [("p", "a b c")], doc)] == want
+
+
+def test_token_lists_and_warnings(spark):
+    df = spark.createDataFrame([("a", b"x = 1;"), ("b", b"!"), ("c", None)], "path string, content binary")
+    got = {r.path: r.tokens and [tuple(t) for t in r.tokens] for r in Analysis(DOC).token_lists(df).collect()}
+    assert got == {"a": [("Name", 0, 1), ("Eq", 2, 3), ("Num", 4, 5), ("Semi", 5, 6)], "b": None, "c": []}
+    doc = "scope { include \"**\" } tokens { S = ' ' skip } rules { rule R { match S report info at S \"never\" } }"
+    assert len(Analysis(doc).program.warnings) == 1 and run(spark, [("p", "  ")], doc) == []
