@@ -9,7 +9,7 @@ smallest hashes of the union, a match counting where its displacement agrees wit
 Everything is DataFrame functions over whole texts: arrays of units, so work is linear in a text's length.
 
 Edge cases: a null text is empty; texts of fewer than k units are one anchor; an empty text has no anchors, and is like another
-empty text 1, like any other 0; rows that share a key share a neighbour, the smallest text of the neighbouring key; rows with a
+empty text 1, like any other 0; rows that share a key share a neighbour, of several with the neighbouring key the smallest head; rows with a
 null key have no neighbour (an empty text stands for it); a table of one document is its own neighbour; columns besides key and
 text are ignored.
 """
@@ -113,16 +113,21 @@ def neighbours(keys: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, print, head, next_print): each text with its fingerprint, and of the next document as many code points as a
-    third of the text has, and its fingerprint."""
-    docs = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pairs = neighbours(df, key).select(F.col(key).alias("owner"), "next_key")
-    wants = df.select(F.col(key).alias("owner"), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 3).cast("int").alias("want")).groupBy("owner").agg(F.max("want").alias("want"))
-    wants = pairs.join(wants, "owner")
-    heads = docs.join(wants, F.col(key) == F.col("next_key")).groupBy("owner", "want").agg(F.min("text").alias("next_text"))
-    heads = heads.select("owner", F.substring("next_text", F.lit(1), F.col("want")).alias("head"), fingerprint(F.col("next_text")).alias("next_print"))
-    found = docs.join(heads, F.col(key) == F.col("owner"), "left").drop("owner")
-    empty = fingerprint(F.lit(""))
-    return found.withColumns({"head": F.coalesce("head", F.lit("")), "next_print": F.coalesce("next_print", empty), "print": fingerprint(F.col("text"))})
+    third of the text has, and its fingerprint.
+
+    Texts are dealt out by key once: both joins read that exchange, so their sides must want the same columns of it and no filter
+    on it (a text key, never null, sees to that). What travels to a document from its neighbour is a third of a text at most.
+    """
+    at = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_at")
+    docs = df.select(key, at, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    pairs = neighbours(df, key).select(F.col(key).cast("string").alias("owner"), F.col("next_key").cast("string").alias("next_key"))
+    wants = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("owner"), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 3).cast("int").alias("want"))
+    wants = pairs.join(wants.groupBy("owner").agg(F.max("want").alias("want")), "owner")
+    heads = docs.join(wants, F.col("_at") == F.col("next_key"))
+    given = F.struct(F.substring("text", F.lit(1), F.col("want")).alias("head"), fingerprint(F.col("text")).alias("next_print"), key)
+    heads = heads.groupBy("owner").agg(F.min(given).alias("given"))
+    found = docs.join(heads, F.col("_at") == F.col("owner"), "left")
+    return found.select(key, "text", F.coalesce("given.head", F.lit("")).alias("head"), F.coalesce("given.next_print", fingerprint(F.lit(""))).alias("next_print"), fingerprint(F.col("text")).alias("print"))
 
 
 def edited(text: Column, head: Column) -> Column:
