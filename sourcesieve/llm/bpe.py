@@ -118,22 +118,24 @@ class WordBpe(PieceTable):
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & same_word, self.ranks[at], NO_RANK), at
 
-    def _words(self, piece: str) -> list[bytes]:
+    def _words(self, piece: bytes) -> list[bytes]:
+        if piece.isalpha():  # of ASCII letters alone
+            return [piece.lower()]
         if piece.isascii():
-            return [piece.lower().encode()] if piece.isalpha() else [w.encode() for w in WORD.findall(piece.lower())]
-        plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [w.encode("utf-8", "replace") for w in WORD.findall(plain)]
+            return [w.encode() for w in WORD.findall(piece.lower().decode())]
+        plain = unicodedata.normalize("NFC", piece.decode()).replace("Σ", "σ").lower()
+        return [w.encode() for w in WORD.findall(plain)]
 
-    def learn(self, missing: list[str]) -> list[bytes]:
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
         flat: list[bytes] = []
-        counts: list[int] = []  # of words, by part
-        odd: dict[int, list[int]] = {}  # parts of pieces with added tokens, whose ids stand here as -1 - id
+        counts: list[int] = []  # of words, by piece
+        odd: dict[int, list[int]] = {}  # pieces with added tokens: counts of words, and ids of added tokens as -1 - id
         for i, piece in enumerate(missing):
-            if "<" in piece and self.split_added and self.split_added.search(piece):
+            if b"<" in piece and self.split_added and self.split_added.search(piece.decode()):
                 odd[i] = []
-                for part in filter(None, self.split_added.split(piece)):
-                    words = [] if part in self.added else self._words(part)
+                for part in filter(None, self.split_added.split(piece.decode())):
+                    words = [] if part in self.added else self._words(part.encode())
                     odd[i].append(-1 - self.added[part] if part in self.added else len(words))
                     flat += words
                 counts.append(sum(n for n in odd[i] if n > 0))

@@ -7,12 +7,13 @@ of text, and a single longer text is a block of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
@@ -39,6 +40,14 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return edges, codes, flat.dictionary
 
 
+def raw(distinct: pa.Array) -> list[bytes]:
+    """The strings as bytes, without a Python string for each."""
+    _, offsets, data = distinct.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].tolist() if len(distinct) else []
+    held = data.to_pybytes() if data is not None else b""
+    return [held[a:b] for a, b in pairwise(edges)]
+
+
 def gather(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of flat that codes name, one after another, and where each ends. lengths: of all runs in flat, in order."""
     own = lengths[codes]
@@ -51,12 +60,14 @@ class PieceTable:
     """What is known of pieces, in two generations of size entries at most: what the older one no longer gets asked for goes."""
 
     def __init__(self, size: int = 300_000):
-        self.size, self.new, self.old = size, {}, {}
+        self.size = size
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def learn(self, missing: list[str]) -> list[bytes]:
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         raise NotImplementedError
 
-    def lookup(self, wanted: list[str]) -> list[bytes]:
+    def lookup(self, wanted: list[bytes]) -> list[bytes]:
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
         found = list(map(self.new.get, wanted))
@@ -78,7 +89,7 @@ class PieceTable:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (one more at the end), and all ids as 32-bit integers."""
         edges, codes, distinct = split(texts)
-        data = self.lookup(distinct.to_pylist())
+        data = self.lookup(raw(distinct))
         lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
         ids, ends = gather(codes, lengths, np.frombuffer(b"".join(data), dtype="<i4"))
         return np.r_[0, ends][edges], ids

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcesieve.llm.pieces import PieceTable, blocks, gather, split
+from sourcesieve.llm.pieces import PieceTable, blocks, gather, raw, split
 
 BUCKETS, DIM = 1 << 16, 8
 NGRAMS = (1, 2, 3)
@@ -43,13 +43,12 @@ AGAIN = np.uint32(zlib.crc32(b"again") % BUCKETS).tobytes()
 class Grams(PieceTable):
     """Bucket numbers of pieces: of the piece, and of its n-grams with its edges marked."""
 
-    def learn(self, missing: list[str]) -> list[bytes]:
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         out = []
         for piece in missing:
-            raw = piece.encode()
-            marked = b"<" + raw + b">"
+            marked = b"<" + piece + b">"
             # of a long run without white space, every n-gram counts, too
-            grams = [zlib.crc32(raw), *[zlib.crc32(marked[i : i + n]) for n in NGRAMS for i in range(len(marked) - n + 1)]]
+            grams = [zlib.crc32(piece), *[zlib.crc32(marked[i : i + n]) for n in NGRAMS for i in range(len(marked) - n + 1)]]
             out.append((np.array(grams, dtype=np.uint32) % BUCKETS).astype("<u4").tobytes())
         return out
 
@@ -68,7 +67,7 @@ class Model:
 def features(texts: pa.Array, table: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: where its pieces begin; the code of each piece; of each code: how many buckets, and all of them."""
     edges, codes, distinct = split(texts)
-    data = [*table.lookup(distinct.to_pylist()), AGAIN]
+    data = [*table.lookup(raw(distinct)), AGAIN]
     if len(codes):
         again = np.r_[False, codes[1:] == codes[:-1]]
         again[edges[:-1][edges[:-1] < len(codes)]] = False

@@ -48,17 +48,17 @@ class LibraryPieces(PieceTable):
         self.library.no_padding()
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
 
-    def learn(self, missing: list[str]) -> list[bytes]:
-        def encode(text: str) -> np.ndarray:
-            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        def encode(text: bytes) -> np.ndarray:
+            return np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<i4")
 
         if not self.added:
             return [encode(x).tobytes() for x in missing]
         cut, cut_id = next(iter(self.added.items()))
-        odd = {i for i, x in enumerate(missing) if "<" in x and any(a in x for a in self.added)}
+        odd = {i for i, x in enumerate(missing) if b"<" in x and any(a.encode() in x for a in self.added)}
         known = [encode(x).tobytes() if i in odd else b"" for i, x in enumerate(missing)]
         plain = [i for i in range(len(missing)) if i not in odd]
-        ids = encode(cut.join(missing[i] for i in plain))
+        ids = encode(cut.encode().join(missing[i] for i in plain))
         at = np.flatnonzero(ids == cut_id)
         data = ids.tobytes()
         for i, a, b in zip(plain, (np.r_[0, at + 1] * 4).tolist(), (np.r_[at, len(ids)] * 4).tolist(), strict=False):  # without plain pieces there is an empty run

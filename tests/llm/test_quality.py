@@ -56,7 +56,7 @@ def test_scores_match_a_plain_average(spark):
         pieces = text.encode().split()
         vectors = []
         for i, p in enumerate(pieces):
-            data = quality.AGAIN if i and pieces[i - 1] == p else table.learn([p.decode()])[0]
+            data = quality.AGAIN if i and pieces[i - 1] == p else table.learn([p])[0]
             vectors.append(model.vectors[np.frombuffer(data, dtype="<u4")].mean(axis=0))
         return float(model.score(np.mean(vectors, axis=0)[None])[0]) if vectors else model.prior
 
