@@ -5,7 +5,7 @@ a piece that equals the one before it has the vector of such pairs instead. A do
 over two outputs gives its score. Vectors and outputs are learned together by stochastic gradient descent in numpy, on the driver.
 
 Training reads a bounded sample of labelled rows: SAMPLE_ROWS rows of the training folds with the smallest hashes of their keys,
-fewer if their texts pass SAMPLE_BYTES together. The model is BUCKETS x DIM numbers. Scoring reads every whole text and shuffles
+fewer if their texts pass SAMPLE_BYTES together; its tables of sample keys and texts have that bound, too. The model is BUCKETS x DIM numbers. Scoring reads every whole text and shuffles
 nothing.
 
 Edge cases: texts without pieces (null, empty, white space) score the sample's share of label 1; a null key is in no held-out fold
@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourcesieve.llm.pieces import PieceTable, blocks, gather, raw, split
+from sourcesieve.llm.shared import written
 
 BUCKETS, DIM = 1 << 16, 8
 NGRAMS = (1, 2, 3)
@@ -159,20 +160,17 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the training sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes reach the driver."""
-    named = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(key)) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    order = (F.xxhash64("_key"), "_key", "_label")
-    some = named.dropDuplicates(["_key"]).orderBy(*order).limit(SAMPLE_ROWS)
-    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(some), "_key")
-    sizes = [(r[0], r[1]) for r in found.select("_key", F.octet_length("_text")).collect()]
-    sizes.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    held, kept = 0, []
-    for k, n in sizes[:SAMPLE_ROWS]:
-        if held + n <= SAMPLE_BYTES:
-            held += n
-            kept.append(k)
-    chosen = found.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in kept], T.StructType([T.StructField("_key", docs.schema[key].dataType)]))), "_key", "left_semi")
-    rows = sorted(((r["_key"], r["_text"], r["_label"]) for r in chosen.limit(SAMPLE_ROWS).collect()), key=lambda r: (r[0], r[1])) if kept else []
+    """Texts and labels of the training sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes reach the driver.
+
+    Texts of over a hundredth of SAMPLE_BYTES aren't sampled; of a key's several labels or texts the smallest counts.
+    """
+    order = (F.xxhash64("_key"), "_key")
+    named = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(key)) & F.col(key).isNotNull())
+    some = named.groupBy(F.col(key).alias("_key")).agg(F.min(F.col(label).cast("int")).alias("_label")).orderBy(*order).limit(SAMPLE_ROWS)
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).filter(F.octet_length("_text") <= SAMPLE_BYTES // 100)
+    found = written(texts.join(F.broadcast(some), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")), "sample")
+    sizes = found.select("_key", F.sum(F.octet_length("_text")).over(Window.orderBy(*order)).alias("_sum")).filter(F.col("_sum") <= SAMPLE_BYTES)
+    rows = sorted(tuple(r) for r in found.join(F.broadcast(sizes), "_key", "left_semi").select("_key", "_text", "_label").collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.float64)
 
 
