@@ -55,11 +55,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tables.spread(tables.documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return tables.spread(tables.pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def shown(diagnostics: DataFrame) -> DataFrame:

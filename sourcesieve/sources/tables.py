@@ -11,6 +11,15 @@ def from_table(df: DataFrame, path: Column, content: str) -> DataFrame:
     return df.select(F.replace(path, F.lit("\\"), F.lit("/")).alias("path"), F.coalesce(F.col(content).cast("binary"), F.lit(bytearray())).alias("content"))
 
 
+def spread(sources: DataFrame) -> DataFrame:
+    """Sources dealt out over all cores where they come in fewer splits than there are cores, as small files do.
+
+    Scanning is CPU-bound, so that exchange pays. Inputs with a split per core, all large ones, stay as they are.
+    """
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    return sources.repartition(cores) if sources.rdd.getNumPartitions() < cores else sources
+
+
 def documents(df: DataFrame) -> DataFrame:
     """lang/source/doc_id.txt"""
     return from_table(df, F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), "text")
