@@ -228,17 +228,21 @@ def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], tile: int =
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the smallest node in reach of every node of the edges (a, b)."""
+    """(node, label): the smallest node in reach of every node of the edges (a, b).
+
+    Smallest neighbours are written before they are joined back: then both sides of the join are plain exchanges, and Spark can
+    split a node with very many neighbours, or broadcast a side that has turned out small.
+    """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
     seen = None
     while True:
         # large star: a node's larger neighbours move to its smallest neighbour
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
+        least = written(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m")), name)
         large = both.join(least, F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, name)
         # small star: a node and its smaller neighbours move to the smallest of them
-        least = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+        least = written(large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), name)
         moved = large.join(least, F.col("a") == F.col("c"))
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("c").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
         now = written(small, name)
