@@ -5,7 +5,8 @@ Fingerprint: over the word shingles of a text, with repeats, a bit is 1 if it is
 Links join fingerprints that differ in at most max_bits bits. Equal fingerprints become one node first. Tables of bit positions
 propose candidates: nodes that agree in all bits of a table meet in a bucket. For few differing bits the tables are exact: bits fall
 into blocks, and max_bits differences leave some blocks alone, so the tables of all choices of that many blocks miss no pair. For
-more bits (longer fingerprints) tables are samples of bits. In a bucket, distances to pivots (fixed reference fingerprints) are
+more bits (longer fingerprints) tables are samples of bits; deduplicated() has MinHash bands instead, whose recall is the same for
+any number of nodes. In a bucket, distances to pivots (fixed reference fingerprints) are
 computed once per node; a pair whose distances to any pivot differ by more than max_bits can't be a link and is discarded, and
 survivors are verified by their own distance. A bucket yields a spanning forest, not its pairs. Buckets of over TILE nodes are
 dealt out as pairs of tiles, so no task holds more than two tiles and no pair is lost.
@@ -36,6 +37,8 @@ from sourcesieve.llm.shared import written
 SEED = 42
 PIVOTS = 16
 TILE = 4096
+#: Bands of smallest hashes: a pair of likeness 0.8 agrees in a whole band with probability 1 - (1 - 0.8 ** 4) ** 24 = 0.999999.
+BANDS, BAND = 24, 4
 #: Fixed references, for up to 256 bits: words of a splitmix64 sequence.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -75,6 +78,23 @@ def fingerprint(text: str | None, k: int = 4, bits: int = 64) -> np.ndarray:
     return out
 
 
+def least_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """MinHash: under each of n orders the smallest of a set of hashes; two sets agree in as many as their Jaccard likeness says."""
+    a, b = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(GOLDEN)).reshape(2, n, 1)
+    out = np.full(n, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(out, ((a | np.uint64(1)) * hashes[i : i + 1024] + b).min(axis=1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key of each band of BAND smallest hashes; keys of different bands differ."""
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least[: BANDS * BAND].reshape(BANDS, BAND).T:
+        keys = mixed(keys * np.uint64(GOLDEN) ^ column)
+    return keys
+
+
 def with_prints(df: DataFrame, text: str = "text", k: int = 4, bits: int = 64, out: str = "print") -> DataFrame:
     """df with the binary column out: the fingerprint, most significant byte first; replaces a column of that name."""
     rest = df.drop(out)
@@ -133,14 +153,14 @@ def bucket_rows(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
     return nodes.select("print").mapInArrow(run, "bucket long, print binary")
 
 
-def tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """(bucket, part, print): large buckets as pairs of tiles; a node goes to the pairs that hold its tile."""
+def tiled(rows: DataFrame, tile: int, node: str = "print") -> DataFrame:
+    """(bucket, part, other columns of rows): large buckets as pairs of tiles; a node goes to the pairs that hold its tile."""
     sizes = rows.groupBy("bucket").count().filter(F.col("count") > tile)
     large = written(sizes.select(F.col("bucket").alias("_bucket"), F.ceil(2 * F.col("count") / tile).cast("int").alias("tiles")), "large-buckets")
     found = rows.join(large, F.col("bucket") == F.col("_bucket"), "left").drop("_bucket")
-    own = F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64(node), F.col("tiles")).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j))
-    return found.select("bucket", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(parts)).alias("part"), "print")
+    return found.select("bucket", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(parts)).alias("part"), *[c for c in rows.columns if c != "bucket"])
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,7 +221,13 @@ def links_in(group: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.nd
 
 def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], tile: int = TILE) -> DataFrame:
     """(a, b): edges between prints of nodes that connect all that are linked."""
-    rows = tiled(written(bucket_rows(nodes, tables), "buckets") if tile else bucket_rows(nodes, tables), tile)
+    rows = bucket_rows(nodes, tables)
+    return links_of(written(rows, "buckets") if tile else rows, max_bits, tile)
+
+
+def links_of(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
+    """(a, b): edges between prints of rows (bucket, print) that connect all that are linked inside a bucket."""
+    rows = tiled(rows, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -264,13 +290,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     return docs.join(final, docs["print"] == final["node"]).select(key, F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def with_sketches(df: DataFrame, text: str, k: int, bits: int) -> DataFrame:
+    """df with the columns _print, the fingerprint, and _bands, the keys under which likely near-copies meet."""
+    rest = df.drop("_print", "_bands")
+    at = rest.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, at):
+            prints, bands = [], []
+            for t in batch.column(at).to_pylist():
+                prints.append(fingerprint(t, k, bits).astype(">u8").tobytes())
+                bands.append(band_keys(least_hashes(np.unique(shingle_hashes((t or "").encode(), k)), BANDS * BAND)).view(np.int64))
+            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_print", "_bands"])
+
+    added = [T.StructField("_print", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added]))
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, bits: int = 256, max_bits: int = 48) -> DataFrame:
     """One row of each group of near-copies, the one with the smallest key (nulls last), with the columns of df.
 
     The default finds what shares 0.8 of its five-word shingles: that leaves 15 % of bits different, 38.7 of 256 on average, give
-    or take 5.7. Texts that share half of them differ in 68 bits.
+    or take 5.7. Texts that share half of them differ in 68 bits. Candidates meet in bands of smallest hashes, so whether a pair
+    is found doesn't depend on how many texts there are.
     """
-    docs = written(with_prints(df, text, k, bits, "_print"), "printed").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    rows = docs.select(F.col("_print").alias("print"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_file", "_row").alias("first"))
-    keepers = labelled(rows, F.col("first"), bits, max_bits).groupBy("label").agg(F.min("first").alias("first")).select("first._file", "first._row")
+    docs = written(with_sketches(df, text, k, bits), "printed").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_file", "_row")
+    nodes = written(docs.groupBy(F.col("_print").alias("print"), F.col("_bands").alias("bands")).agg(F.min(first).alias("first")), "nodes")
+    labels = components(links_of(nodes.select(F.explode("bands").alias("bucket"), "print"), max_bits))
+    named = nodes.join(labels, nodes["print"] == labels["node"], "left").select("first", F.coalesce("label", "print").alias("label"))
+    keepers = named.groupBy("label").agg(F.min("first").alias("first")).select("first._file", "first._row")
     return docs.join(keepers, ["_file", "_row"], "left_semi").select(*df.columns)

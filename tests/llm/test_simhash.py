@@ -107,3 +107,32 @@ def test_deduplicated_keeps_one_row_of_each_group(spark):
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted([str(i * 10) for i in range(30)] + ["None", "7000"])
     assert simhash.deduplicated(df.limit(0)).collect() == []
+
+
+def likeness_08(n, rng):
+    """Pairs of sets of 180 hashes that share 160: likeness 0.8."""
+    for _ in range(n):
+        h = np.frombuffer(rng.bytes(8 * 200), dtype=np.uint64)
+        yield h[:180], h[20:]
+
+
+def test_bands_find_pairs_whatever_the_size_of_the_corpus():
+    rng = np.random.default_rng(2)
+    met = [bool(np.any(simhash.band_keys(simhash.least_hashes(a, 96)) == simhash.band_keys(simhash.least_hashes(b, 96)))) for a, b in likeness_08(1000, rng)]
+    assert all(met)
+
+
+def test_deduplicated_asks_no_bit_tables(spark, monkeypatch):
+    """Bit tables get wider, and find fewer pairs, as a corpus grows: here as for 2 ** 40 texts."""
+    tables = simhash.bit_tables
+    monkeypatch.setattr(simhash, "bit_tables", lambda n, *rest: tables(1 << 40, *rest))
+    rng = random.Random(9)
+    data = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for at in (50, 120, 190):
+            near[at] = "changed"
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    got = simhash.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 120, 2))
