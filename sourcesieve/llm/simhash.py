@@ -5,8 +5,8 @@ Fingerprint: over the word shingles of a text, with repeats, a bit is 1 if it is
 Links join fingerprints that differ in at most max_bits bits. Equal fingerprints become one node first. Tables of bit positions
 propose candidates: nodes that agree in all bits of a table meet in a bucket. For few differing bits the tables are exact: bits fall
 into blocks, and max_bits differences leave some blocks alone, so the tables of all choices of that many blocks miss no pair. For
-more bits (longer fingerprints) tables are samples of bits; deduplicated() has MinHash bands instead, whose recall is the same for
-any number of nodes. In a bucket, distances to pivots (fixed reference fingerprints) are
+more bits (longer fingerprints) tables are samples of bits; deduplicated() has MinHash bands and bits instead, whose recall is the
+same for any number of nodes, and decides on the shingles themselves. In a bucket, distances to pivots (fixed reference fingerprints) are
 computed once per node; a pair whose distances to any pivot differ by more than max_bits can't be a link and is discarded, and
 survivors are verified by their own distance. A bucket yields a spanning forest, not its pairs. Buckets of over TILE nodes are
 dealt out as pairs of tiles, so no task holds more than two tiles and no pair is lost.
@@ -22,11 +22,14 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,7 @@ from sourcesieve.llm.shared import written
 SEED = 42
 PIVOTS = 16
 TILE = 4096
+SET_TILE = 1024
 #: Bands of smallest hashes: a pair of likeness 0.8 agrees in a whole band with probability 1 - (1 - 0.8 ** 4) ** 24 = 0.999999.
 BANDS, BAND = 24, 4
 #: Fixed references, for up to 256 bits: words of a splitmix64 sequence.
@@ -290,35 +294,159 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     return docs.join(final, docs["print"] == final["node"]).select(key, F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def alike_in(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, inside equal groups, all sets whose Jaccard likeness is similarity or more; each edge is such a pair.
+
+    sets are sorted. Two sets that are alike share one of their smallest members, of all but ceil(similarity * size) - 1 (a prefix
+    filter, which misses none). Pairs at each offset among the owners of a member are taken together; what is known to be
+    connected isn't looked at again, nor a pair that was refused.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    heads = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    owner = np.repeat(np.arange(n), heads)
+    member = np.concatenate([x[:h] for x, h in zip(sets, heads.tolist(), strict=True)]) if n else np.array([], dtype=np.uint64)
+    order = np.lexsort((owner, member, group[owner]))
+    owner, member = owner[order], member[order]
+    run = np.cumsum(np.r_[True, (member[1:] != member[:-1]) | (group[owner[1:]] != group[owner[:-1]])]) if len(owner) else owner
+    label = np.arange(n)
+    refused = np.array([], dtype=np.int64)
+    left, right = [], []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    step = 1
+    while len(owner) > step:
+        i = np.flatnonzero(run[step:] == run[:-step])
+        if not len(i):
+            break
+        a, b = owner[i], owner[i + step]
+        open_ = (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        pairs = np.setdiff1d(a[open_] * n + b[open_], refused)
+        failed, before = [], len(left)
+        for pair in pairs.tolist():
+            x, y = divmod(pair, n)
+            p, q = root(x), root(y)
+            if p == q:
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if shared >= similarity * (len(sets[x]) + len(sets[y]) - shared) - 1e-9:
+                label[max(p, q)] = min(p, q)
+                left.append(x)
+                right.append(y)
+            else:
+                failed.append(pair)
+        refused = np.union1d(refused, np.array(failed, dtype=np.int64))
+        if len(left) > before:
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            undecided = np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts)
+            keep = np.repeat(undecided, np.diff(np.r_[starts, len(owner)]))
+            owner, run = owner[keep], run[keep]
+        step += 1
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def alike(rows: DataFrame, text: str, k: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """(a, b): edges between the sets of rows (bucket, set, text) that connect all that are alike inside a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, names, sets, size, last, number = [], [], [], 0, None, 0
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            a, b = alike_in(np.array(groups), sets, similarity)
+            if len(a):
+                own = pa.array(names, pa.binary())
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, part, name, words in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if (here := (bucket.as_py(), part.as_py())) != last:
+                    if size > 1 << 21:
+                        yield from edges()
+                        groups, names, sets, size = [], [], [], 0
+                    last, number = here, number + 1
+                groups.append(number)
+                names.append(name.as_py())
+                sets.append(np.unique(shingle_hashes((words.as_py() or "").encode(), k)))
+                size += len(sets[-1])
+        if sets:
+            yield from edges()
+
+    dealt = tiled(rows, tile, "set").select("bucket", "part", "set", text).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def texts_at(wanted: DataFrame, text: str) -> DataFrame:
+    """wanted (bucket, set, _file, _row) with the text of each row of a written table: read file by file, no other text moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, part, base = None, iter(()), None, 0
+        for batch in batches:
+            files, rows = batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            i = 0
+            while i < len(rows):
+                if files[i] != at:
+                    at = files[i]
+                    store, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", at))
+                    parts, part, base = pq.ParquetFile(store.open_input_file(inner)).iter_batches(1024, columns=[text]), None, 0
+                while part is None or rows[i] >= base + part.num_rows:
+                    base += part.num_rows if part is not None else 0
+                    part = next(parts)
+                j = i
+                while j < len(rows) and files[j] == at and rows[j] < base + part.num_rows:
+                    j += 1
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), part.column(0).take(pa.array(rows[i:j] - base))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "set", text])
+                i = j
+
+    schema = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField(text, T.StringType())])
+    return wanted.select("bucket", "set", "_file", "_row").repartition("_file").sortWithinPartitions("_file", "_row").mapInArrow(run, schema)
+
+
 def with_sketches(df: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """df with the columns _print, the fingerprint, and _bands, the keys under which likely near-copies meet."""
-    rest = df.drop("_print", "_bands")
+    """df with columns of the set of a text's shingles: _set, its digest; _print, a bit of each of its smallest hashes under bits
+    orders; and _bands, the keys under which likely near-copies meet."""
+    rest = df.drop("_set", "_print", "_bands")
     at = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, at):
-            prints, bands = [], []
+            sets, prints, bands = [], [], []
             for t in batch.column(at).to_pylist():
-                prints.append(fingerprint(t, k, bits).astype(">u8").tobytes())
-                bands.append(band_keys(least_hashes(np.unique(shingle_hashes((t or "").encode(), k)), BANDS * BAND)).view(np.int64))
-            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_print", "_bands"])
-
-    added = [T.StructField("_print", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
+                hashes = np.unique(shingle_hashes((t or "").encode(), k))
+                least = least_hashes(hashes, max(bits, BANDS * BAND))
+                sets.append(xxhash.xxh3_128_digest(hashes.tobytes(), SEED))
+                prints.append(np.packbits((mixed(least[:bits]) >> np.uint64(63)).astype(np.uint8)).tobytes())
+                bands.append(band_keys(least).view(np.int64))
+            columns = [*batch.columns, pa.array(sets, pa.binary()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_set", "_print", "_bands"])
+
+    added = [T.StructField("_set", T.BinaryType()), T.StructField("_print", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added]))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, bits: int = 256, max_bits: int = 48) -> DataFrame:
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, bits: int = 256, max_bits: int = 48, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-copies, the one with the smallest key (nulls last), with the columns of df.
 
-    The default finds what shares 0.8 of its five-word shingles: that leaves 15 % of bits different, 38.7 of 256 on average, give
-    or take 5.7. Texts that share half of them differ in 68 bits. Candidates meet in bands of smallest hashes, so whether a pair
-    is found doesn't depend on how many texts there are.
+    Near-copies share similarity of their shingles: Jaccard likeness of the sets, repeats counting once. Texts of equal sets become
+    one node. Loose groups hold all that may be near: nodes meet in bands of smallest hashes, whether they do doesn't depend on how
+    many there are, and are linked if at most max_bits of the bits of their smallest hashes differ (0.1 of them at likeness 0.8 on
+    average, 25.6 give or take 4.8 of 256). Inside loose groups, shingles themselves decide.
     """
     docs = written(with_sketches(df, text, k, bits), "printed").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_file", "_row")
-    nodes = written(docs.groupBy(F.col("_print").alias("print"), F.col("_bands").alias("bands")).agg(F.min(first).alias("first")), "nodes")
-    labels = components(links_of(nodes.select(F.explode("bands").alias("bucket"), "print"), max_bits))
-    named = nodes.join(labels, nodes["print"] == labels["node"], "left").select("first", F.coalesce("label", "print").alias("label"))
+    nodes = docs.groupBy(F.col("_set").alias("set")).agg(F.min(first).alias("first"), F.first("_print").alias("print"), F.first("_bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    loose = components(links_of(nodes.select(F.explode("bands").alias("bucket"), "print"), max_bits), "loose")
+    loose = nodes.join(loose, nodes["print"] == loose["node"], "left").select("set", "first", F.coalesce("label", "print").alias("bucket"))
+    several = loose.groupBy("bucket").count().filter("count > 1").select("bucket")
+    unsure = loose.join(several, "bucket", "left_semi").select("bucket", "set", "first._file", "first._row")
+    same = components(alike(written(texts_at(unsure, text), "unsure-texts"), text, k, similarity), "same")
+    named = nodes.join(same, nodes["set"] == same["node"], "left").select("first", F.coalesce("label", "set").alias("label"))
     keepers = named.groupBy("label").agg(F.min("first").alias("first")).select("first._file", "first._row")
     return docs.join(keepers, ["_file", "_row"], "left_semi").select(*df.columns)

@@ -136,3 +136,56 @@ def test_deduplicated_asks_no_bit_tables(spark, monkeypatch):
         data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
     got = simhash.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(0, 120, 2))
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_alike_in_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for similarity in (0.5, 0.8):
+        sets, group = [], np.sort(rng.integers(0, 4, 120))
+        for g in group:
+            base = np.arange(g * 1000, g * 1000 + 40 * int(rng.integers(1, 3)), dtype=np.uint64)
+            sets.append(np.unique(np.r_[rng.choice(base, int(len(base) * rng.uniform(0.7, 1)), replace=False), rng.integers(0, 9000, 3).astype(np.uint64)]))
+        sets[5] = sets[6] = np.array([], dtype=np.uint64)
+        a, b = simhash.alike_in(group, sets, similarity)
+        near = [(i, j) for i in range(120) for j in range(i) if group[i] == group[j] and len(sets[i]) and len(set(sets[i]) & set(sets[j])) >= similarity * len(set(sets[i]) | set(sets[j]))]
+        assert near and all((max(e), min(e)) in near for e in zip(a.tolist(), b.tolist()))
+        left, right = np.array(near).T
+        assert (simhash._forest(120, a, b) == simhash._forest(120, left, right)).all()
+
+
+@pytest.mark.parametrize("tile", [simhash.SET_TILE, 8])
+def test_deduplicated_decides_on_shingles(spark, monkeypatch, tile):
+    """Pairs below 0.8 stay, those from 0.8 on go, a common line that is repeated makes no copies, and tiles lose nothing."""
+    whole = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda *a: whole(*a, tile=tile))
+    rng = random.Random(10)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    data, line = [], new(9)
+    for _ in range(20):
+        data.append(" ".join([*(line * 20), *new(60)]))
+    for changes in range(1, 11):
+        for _ in range(6):
+            words = new(200)
+            near = list(words)
+            for at in range(changes):
+                near[10 + at * 19] = "changed"
+            data += [" ".join(words), " ".join(near), " ".join(words).upper()]
+    chain = new(300)
+    for i in range(30):
+        chain[i * 9 + 5] = "other"
+        data.append(" ".join(chain))
+    sets = [shingle_set(t) for t in data]
+    label = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and label[i] != label[j]:
+                old, low = max(label[i], label[j]), min(label[i], label[j])
+                label = [low if x == old else x for x in label]
+    got = simhash.deduplicated(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(label))
+    assert set(range(20)) <= set(label) and 60 < len(set(label)) - 20 < 120
