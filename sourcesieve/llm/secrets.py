@@ -3,7 +3,8 @@ r"""Secret scans: three fixed patterns, and windows of high entropy in candidate
 Candidates are runs of 20 and more of ``[A-Za-z0-9+/=_-]``. A window of WINDOW characters slides over a candidate; the counts of
 its characters change by one in and one out, and with them the sum of c log2 c that gives Shannon entropy. Stretches of windows
 above the threshold of the candidate's character class become spans of kind ``entropy``, unless the candidate is on the
-allow-list or the stretch meets a span of a fixed pattern.
+allow-list. Spans of fixed patterns, and allowed words that stand alone between separators, are cut out of stretches; what is left
+is kept from a window on, unless an allow-list pattern for parts (``.*word.*``) matches it.
 
 Arrow's RE2 first tells which texts can have a match at all; patterns run in Python over those alone, over whole texts.
 
@@ -30,6 +31,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])")
+#: Allow-list patterns that ask for a part of a string.
+PART = re.compile(r"(\(\?[a-z]+\))?\.\*.*\.\*", re.DOTALL)
 KINDS = ("assign", "access", "hex", "entropy")
 MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
 MAY_RUN = r"[A-Za-z0-9+/=_-]{20}"
@@ -98,16 +102,36 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _remainders(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the cuts, in order of their starts, leave of [start, end), where it has WINDOW characters."""
+    for a, b in [*cuts, (end, end)]:
+        if min(a, end) - start >= WINDOW:
+            yield start, min(a, end)
+        start = max(start, b)
+
+
+def _plain_words(run: str, inside: list[re.Pattern]) -> list[tuple[int, int]]:
+    """Allowed words in plain case that stand alone between separators: a path's ``example`` says nothing about what follows."""
+    found = (m for m in WORD.finditer(run) if m[0].islower() or m[0].isupper() or m[0].istitle())
+    return [m.span() for m in found if any(a.fullmatch(m[0]) for a in inside)]
+
+
 def find_spans(text: str, allowed: tuple[re.Pattern, ...], assign: bool = True, runs: bool = True) -> tuple[list[Span], list[Span]]:
     """The spans of the fixed patterns, and those that entropy adds; both in order."""
     base = in_order(base_spans(text, assign, runs))
+    inside = [a for a in allowed if PART.fullmatch(a.pattern)]
+    whole = [a for a in allowed if not PART.fullmatch(a.pattern)]
     added: list[Span] = []
     for m in CANDIDATE.finditer(text) if runs else ():
-        run = m[0]
+        run, at = m[0], m.start()
         stretches = entropy_stretches(run, THRESHOLDS[char_class(run)])
-        if stretches and not any(a.fullmatch(run) for a in allowed):
-            added += [("entropy", m.start() + a, m.start() + b) for a, b in stretches]
-    return base, [x for x in added if not any(x[1] < b and a < x[2] for _, a, b in base)]
+        if not stretches or any(a.fullmatch(run) for a in whole):
+            continue
+        cuts = [(a, b) for _, a, b in base if a < m.end() and at < b] + [(at + a, at + b) for a, b in _plain_words(run, inside)]
+        for a, b in stretches:
+            left = _remainders(at + a, at + b, sorted(cuts))
+            added += [("entropy", x, y) for x, y in left if not any(p.fullmatch(text, x, y) for p in inside)]
+    return base, added
 
 
 def scan(texts: pa.Array, allow: tuple[str, ...] = ALLOWED) -> Iterator[tuple[list[Span], list[Span]]]:
