@@ -318,10 +318,19 @@ def diagnostics_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINE_SQL + f"SELECT path, severity, message, start_byte, end_byte, row_number() OVER (ORDER BY string_split(path, '/'), phase, clock) AS place FROM ({MIXED_SQL}) WHERE phase = 0")
 def diagnostics_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(Analysis(LINES.split("syntax")[0] + 'rules { rule T { match Word where Word.text == "of" report info at Word "token" } }').diagnostics(docs(spark, sf_dir)))
+
+
+@query(LINE_SQL + f"SELECT path, severity, message, start_byte, end_byte, row_number() OVER (ORDER BY string_split(path, '/'), phase, clock) AS place FROM ({MIXED_SQL})")
+def diagnostics_ordered_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's order over token rules, node rules and sibling pairs."""
+    return placed(Analysis(MIXED).diagnostics(docs(spark, sf_dir)))
+
+
+def placed(found_: DataFrame) -> DataFrame:
     """The place of each diagnostic in the report. One row per source is ranked in one task; diagnostics are not."""
     from pyspark.sql import Window
 
-    found_ = Analysis(LINES.split("syntax")[0] + 'rules { rule T { match Word where Word.text == "of" report info at Word "token" } }').diagnostics(docs(spark, sf_dir))
     earlier = Window.orderBy(F.split("path", "/", -1)).rowsBetween(Window.unboundedPreceding, -1)
     before = found_.groupBy("path").agg(F.count("*").alias("n")).select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("path").orderBy(*D.ORDER))
