@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,25 +11,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Values that more than one in HOT of all rows have are fewer than HOT.
+HOT = 1024
+
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the setting is unset, as in tests on one machine, a temporary folder becomes that folder.
+    Where the setting is unset and the master is this machine alone, as in tests, the path is in a temporary folder of the
+    application; any other master needs the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset, and executors of {master} do not share a local folder")
+        app = spark.conf.get("spark.app.id")
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="sieve-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of df, written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """The rows of df, written as Parquet in the shared folder (or at path) and read again: cuts lineage, survives lost executors."""
+    path = path or shared_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free(taken: list[str], name: str) -> str:
+    """name, or name with underscores after it: one that no column has, whatever its case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, at: str, total: int) -> DataFrame:
+    """rows with the columns of table whose value of at is their key; nulls where there is none.
+
+    table has a row per value. A value that over one in HOT of all (total) rows have stays where its rows are, and gets its row
+    of table by broadcast: that is fewer than HOT rows. So no value brings more than one in HOT of the rows to one task of an
+    exchange. rows is read three times: a written table.
+    """
+    hot = rows.groupBy(F.col(key).alias("_hot")).count().filter((F.col("count") > total / HOT) & F.col("_hot").isNotNull()).select("_hot")
+    known = hot.join(F.broadcast(table.join(F.broadcast(hot), F.col(at) == F.col("_hot"), "left_semi")), F.col("_hot") == F.col(at), "left")
+    few = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_anti").join(table, F.col(key) == F.col(at), "left")
+    return few.unionByName(rows.join(F.broadcast(known), F.col(key) == F.col("_hot")).drop("_hot"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once per row, even where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

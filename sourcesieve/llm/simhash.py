@@ -6,12 +6,19 @@ Links join fingerprints that differ in at most max_bits bits. Equal fingerprints
 propose candidates: nodes that agree in all bits of a table meet in a bucket. For few differing bits the tables are exact: bits fall
 into blocks, and max_bits differences leave some blocks alone, so the tables of all choices of that many blocks miss no pair. For
 more bits (longer fingerprints) tables are samples of bits; deduplicated() has MinHash bands and bits instead, whose recall is the
-same for any number of nodes, and decides on the shingles themselves. In a bucket, distances to pivots (fixed reference fingerprints) are
-computed once per node; a pair whose distances to any pivot differ by more than max_bits can't be a link and is discarded, and
-survivors are verified by their own distance. A bucket yields a spanning forest, not its pairs. Buckets of over TILE nodes are
-dealt out as pairs of tiles, so no task holds more than two tiles and no pair is lost.
+same for any number of nodes, and decides on the shingles themselves.
 
-Components come from rounds of large-star and small-star over written edge tables; a node's label is the smallest in reach.
+In a bucket, distances to pivots (reference fingerprints) are computed once per node; a pair whose distances to any pivot differ by
+more than max_bits can't be a link and is discarded, and survivors are verified by their own distance. Pivots of 64-bit prints are
+fixed. Distances of longer prints to any fixed one hardly differ by more than they may, so there pivots are members of the bucket
+itself, spread over it. A bucket yields a spanning forest, not its pairs.
+
+Buckets of over TILE nodes go to tasks in tiles, and each tile gets the same member of the bucket, its centre, too. Most nodes of a
+group of copies are linked to the centre inside their tile already; the others, strays, go to every tile once more. So rows grow with the
+nodes, and with strays times tiles, no task holds more than two tiles, and no link between parts of a bucket is lost.
+
+Components come from rounds of large-star and small-star over written edge tables; a node's label is the smallest in reach. Hubs,
+which stars make, stay where their edges are and get their neighbour by broadcast (fewer than HOT of them: shared.looked_up).
 
 Edge cases: null and empty texts have no shingles and fingerprint zero, and are linked like any other; texts of fewer words than a
 shingle have one, of all their words; a null key is never the smallest of a component, unless all are null; repeated rows are
@@ -23,7 +30,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourcesieve.llm.pieces import blocks
-from sourcesieve.llm.shared import written
+from sourcesieve.llm.shared import discard, free, looked_up, shared_dir, written
 
 SEED = 42
 PIVOTS = 16
@@ -157,16 +164,6 @@ def bucket_rows(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
     return nodes.select("print").mapInArrow(run, "bucket long, print binary")
 
 
-def tiled(rows: DataFrame, tile: int, node: str = "print") -> DataFrame:
-    """(bucket, part, other columns of rows): large buckets as pairs of tiles; a node goes to the pairs that hold its tile."""
-    sizes = rows.groupBy("bucket").count().filter(F.col("count") > tile)
-    large = written(sizes.select(F.col("bucket").alias("_bucket"), F.ceil(2 * F.col("count") / tile).cast("int").alias("tiles")), "large-buckets")
-    found = rows.join(large, F.col("bucket") == F.col("_bucket"), "left").drop("_bucket")
-    own = F.pmod(F.xxhash64(node), F.col("tiles")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j))
-    return found.select("bucket", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(parts)).alias("part"), *[c for c in rows.columns if c != "bucket"])
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest reachable index of each of n nodes, by edges (a, b)."""
     label = np.arange(n)
@@ -181,6 +178,16 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def to_pivots(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Distances of each node to PIVOTS references: fixed ones, or for prints of over 64 bits members of its own group."""
+    if words.shape[1] == 1 or not len(group):
+        return np.stack([distance(words, p) for p in pivots(words.shape[1])], axis=1)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    return np.stack([distance(words, words[first + size * i // PIVOTS]) for i in range(PIVOTS)], axis=1)
+
+
 def links_in(group: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(node, root) edges of a spanning forest of the links inside equal groups, and how many pairs were verified.
 
@@ -188,7 +195,7 @@ def links_in(group: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.nd
     aren't looked at again.
     """
     n = len(group)
-    to_pivot = np.stack([distance(words, p) for p in pivots(words.shape[1])], axis=1)
+    to_pivot = to_pivots(group, words)
     label = np.arange(n)
     left, right, waiting, verified = [], [], 0, 0
 
@@ -209,7 +216,7 @@ def links_in(group: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.nd
             near = np.abs(to_pivot[pair, c] - to_pivot[pair + step, c]) <= max_bits
             pair = pair[near]
             if np.count_nonzero(near) > 0.9 * len(near):
-                break  # what is left is mostly near, or pivots can't tell it apart at this max_bits: verify
+                break  # what is left is mostly near: verify
         verified += len(pair)
         pair = pair[distance(words[pair], words[pair + step]) <= max_bits]
         if len(pair):
@@ -225,57 +232,119 @@ def links_in(group: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.nd
 
 def links(nodes: DataFrame, max_bits: int, tables: list[list[int]], tile: int = TILE) -> DataFrame:
     """(a, b): edges between prints of nodes that connect all that are linked."""
-    rows = bucket_rows(nodes, tables)
-    return links_of(written(rows, "buckets") if tile else rows, max_bits, tile)
+    return links_of(written(bucket_rows(nodes, tables), "buckets"), max_bits, tile)
 
 
 def links_of(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
-    """(a, b): edges between prints of rows (bucket, print) that connect all that are linked inside a bucket."""
-    rows = tiled(rows, tile)
+    """(a, b): edges between prints of rows (bucket, print) that connect all that are linked inside a bucket. rows: a written table."""
+
+    def find(group: np.ndarray, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return links_in(group, words_of(part.column("print").combine_chunks()), max_bits)[:2]
+
+    return joined_in_buckets(rows, "print", find, tile)
+
+
+Find = Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]
+
+
+def met(rows: DataFrame, node: str, find: Find, held: int = 50_000) -> DataFrame:
+    """(a, b, bucket): edges that find sees inside groups of rows (bucket, part, lead, node, ...), and (a, null, bucket) for the
+    strays: nodes with lead 1 that no edges connect with the node in their group that has lead 0."""
+    kind = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("bucket", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                part = pa.Table.from_batches([batch])
-                kept = pa.concat_tables([kept, part]) if kept is not None else part
-                if len(kept) < 50_000:
+                more = pa.Table.from_batches([batch])
+                kept = pa.concat_tables([kept, more]) if kept is not None else more
+                if len(kept) < held and kept.nbytes < 32 << 20:
                     continue
             if kept is None or not len(kept):
                 continue
-            bucket, part = (kept.column(c).to_numpy() for c in (0, 1))
+            bucket, part = (kept.column(c).to_numpy() for c in ("bucket", "part"))
             new = np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]
             cut = len(kept) if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
             if not cut:
                 continue
-            prints = kept.column(2).slice(0, cut).combine_chunks()
-            a, b, _ = links_in(np.cumsum(new[:cut]), words_of(prints), max_bits)
+            whole, group = kept.slice(0, cut), np.cumsum(new[:cut]) - 1
+            names = whole.column(node).combine_chunks()
+            a, b = find(group, whole)
             if len(a):
-                yield pa.RecordBatch.from_arrays([prints.take(pa.array(a)), prints.take(pa.array(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "bucket"])
+            lead = whole.column("lead").to_numpy()
+            if (lead < 2).any():
+                label = _forest(cut, a, b) if len(a) else np.arange(cut)
+                stray = np.flatnonzero((lead == 1) & (label != label[np.flatnonzero(new[:cut])[group]]))
+                if len(stray):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(stray)), pa.nulls(len(stray), pa.binary()), pa.array(bucket[stray])], names=["a", "b", "bucket"])
             kept = kept.slice(cut)
 
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "a binary, b binary").distinct()
+    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "lead")
+    return dealt.mapInArrow(run, kind)
+
+
+def joined_in_buckets(rows: DataFrame, node: str, find: Find, tile: int) -> DataFrame:
+    """(a, b): edges that connect, inside each bucket of rows (bucket long, node, ...), all that find would connect. rows: a written
+    table."""
+    others = [c for c in rows.columns if c != "bucket"]
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
+    large = written(sizes.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / tile).cast("long").alias("tiles")), "large-buckets")
+    if large.isEmpty():
+        few = rows.select("bucket", F.lit(-1).cast("long").alias("part"), F.lit(2).alias("lead"), *others)
+        return met(few, node, find).select("a", "b").distinct()
+
+    # first: each node in its own tile, and the centre in all tiles
+    def own(tiles: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.col(tiles))
+
+    picked = F.min(F.struct(F.xxhash64(node), F.col(node).alias("node")))["node"]
+    inside = rows.join(large, F.col("bucket") == F.col("_bucket"), "left_semi").groupBy(F.col("bucket").alias("_bucket")).agg(picked.alias("centre"))
+    total = rows.count()
+    found = looked_up(rows, "bucket", written(large.join(inside, "_bucket"), "centres"), "_bucket", total)
+    centre = F.col(node) == F.col("centre")
+    parts = F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("long"))).when(centre, F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array(own("tiles")))
+    lead = F.when(F.col("tiles").isNull(), 2).when(centre, 0).otherwise(1)
+    first = written(met(found.select("bucket", F.explode(parts).alias("part"), lead.alias("lead"), *others), node, find), "first-edges")
+    edges, strays = first.filter("b IS NOT NULL").select("a", "b"), first.filter("b IS NULL").select(F.col("bucket").alias("_bucket"), F.col("a").alias("_stray"))
+    many = strays.groupBy("_bucket").agg(F.ceil(F.count("*") / tile).cast("long").alias("blocks")).join(large.select("_bucket", "tiles"), "_bucket")
+    many = written(many, "strays-by-bucket")
+    if many.isEmpty():
+        return edges.distinct()
+    # then: blocks of strays meet all tiles
+    members = looked_up(rows, "bucket", many, "_bucket", total).filter("blocks IS NOT NULL").select(own("tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "bucket", *others)
+    lone = rows.join(strays, (F.col("bucket") == F.col("_bucket")) & (F.col(node) == F.col("_stray")), "left_semi").join(many, F.col("bucket") == F.col("_bucket"))
+    others_of = F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: t != own("tiles"))
+    lone = lone.select(F.explode(others_of).alias("tile"), F.pmod(F.xxhash64(F.lit(1), node), F.col("blocks")).alias("block"), "bucket", *others)
+    both = members.unionByName(lone).select("bucket", F.shiftleft("tile", 32).bitwiseOR(F.col("block")).alias("part"), F.lit(2).alias("lead"), *others)
+    return edges.union(met(both, node, find).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the smallest node in reach of every node of the edges (a, b)."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
+    """(node, label): the smallest node in reach of every node of the edges (a, b).
+
+    Edges lead from a node to a smaller one, so a node's neighbours are those it leads to, and those that lead to it. Large star:
+    larger neighbours of a node move to its smallest neighbour; so each edge a -> b becomes a -> the smallest that b leads to.
+    Small star: a node and those it leads to move to the smallest of these.
+    """
+    spark = edges.sparkSession
+    path = shared_dir(spark, name)
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name, path)
     seen = None
     while True:
-        # large star: a node's larger neighbours move to its smallest neighbour
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, name)
-        # small star: a node and its smaller neighbours move to the smallest of them
-        least = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-        moved = large.join(least, F.col("a") == F.col("c"))
-        small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("c").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
-        now = written(small, name)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        seen = sums
+        seen, before = sums, path
+        up = now.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+        between = shared_dir(spark, name)
+        large = written(looked_up(now, "b", up, "c", sums[0]).select("a", F.coalesce("m", "b").alias("b")), name, between)
+        least = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
+        moved = looked_up(large, "a", least, "c", sums[0]).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        path = shared_dir(spark, name)
+        now = written(moved.union(least.select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct(), name, path)
+        for old in (before, between):
+            discard(spark, old)
 
 
 def labelled(docs: DataFrame, first: Column, bits: int, max_bits: int) -> DataFrame:
@@ -287,11 +356,12 @@ def labelled(docs: DataFrame, first: Column, bits: int, max_bits: int) -> DataFr
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, bits: int = 64, max_bits: int = 4) -> DataFrame:
     """(key, fingerprint, component_id): component_id is the smallest key that a row's links reach, its own included."""
-    docs = written(with_prints(df.select(key, text), text, k, bits).select(key, "print"), "prints")
-    named = labelled(docs, F.col(key), bits, max_bits)
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    final = named.join(smallest, "label").select(F.col("print").alias("node"), "component_id")
-    return docs.join(final, docs["print"] == final["node"]).select(key, F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+    docs = written(with_prints(df.select(key, text), text, k, bits).select(F.col(key).alias("key"), "print"), "prints")
+    named = written(labelled(docs, F.col("key"), bits, max_bits), "labels")
+    smallest = written(named.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "_label"), "smallest")
+    final = looked_up(named, "label", smallest, "_label", named.count()).select(F.col("print").alias("_print"), "component_id")
+    final = looked_up(docs, "print", final, "_print", docs.count())
+    return final.select(F.col("key").alias(key), F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
 def alike_in(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -352,33 +422,13 @@ def alike_in(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tu
 
 
 def alike(rows: DataFrame, text: str, k: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """(a, b): edges between the sets of rows (bucket, set, text) that connect all that are alike inside a bucket."""
+    """(a, b): edges between the sets of rows (bucket, set, text) that connect all that are alike inside a bucket. rows: a written
+    table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, names, sets, size, last, number = [], [], [], 0, None, 0
+    def find(group: np.ndarray, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return alike_in(group, [np.unique(shingle_hashes((t.as_py() or "").encode(), k)) for t in part.column(text)], similarity)
 
-        def edges() -> Iterator[pa.RecordBatch]:
-            a, b = alike_in(np.array(groups), sets, similarity)
-            if len(a):
-                own = pa.array(names, pa.binary())
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b))], names=["a", "b"])
-
-        for batch in batches:
-            for bucket, part, name, words in zip(*(batch.column(c) for c in range(4)), strict=True):
-                if (here := (bucket.as_py(), part.as_py())) != last:
-                    if size > 1 << 21:
-                        yield from edges()
-                        groups, names, sets, size = [], [], [], 0
-                    last, number = here, number + 1
-                groups.append(number)
-                names.append(name.as_py())
-                sets.append(np.unique(shingle_hashes((words.as_py() or "").encode(), k)))
-                size += len(sets[-1])
-        if sets:
-            yield from edges()
-
-    dealt = tiled(rows, tile, "set").select("bucket", "part", "set", text).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return joined_in_buckets(rows, "set", find, tile)
 
 
 def texts_at(wanted: DataFrame, text: str) -> DataFrame:
@@ -404,15 +454,14 @@ def texts_at(wanted: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "set", text])
                 i = j
 
-    schema = T.StructType([T.StructField("bucket", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField(text, T.StringType())])
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField(text, T.StringType())])
     return wanted.select("bucket", "set", "_file", "_row").repartition("_file").sortWithinPartitions("_file", "_row").mapInArrow(run, schema)
 
 
-def with_sketches(df: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """df with columns of the set of a text's shingles: _set, its digest; _print, a bit of each of its smallest hashes under bits
-    orders; and _bands, the keys under which likely near-copies meet."""
-    rest = df.drop("_set", "_print", "_bands")
-    at = rest.columns.index(text)
+def with_sketches(df: DataFrame, text: str, k: int, bits: int, names: tuple[str, str, str] = ("set", "print", "bands")) -> DataFrame:
+    """df with columns, under names that it doesn't have, of the set of a text's shingles: its digest; a bit of each of its smallest
+    hashes under bits orders; and the keys under which likely near-copies meet."""
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, at):
@@ -424,10 +473,10 @@ def with_sketches(df: DataFrame, text: str, k: int, bits: int) -> DataFrame:
                 prints.append(np.packbits((mixed(least[:bits]) >> np.uint64(63)).astype(np.uint8)).tobytes())
                 bands.append(band_keys(least).view(np.int64))
             columns = [*batch.columns, pa.array(sets, pa.binary()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_set", "_print", "_bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    added = [T.StructField("_set", T.BinaryType()), T.StructField("_print", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))]
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *added]))
+    added = [T.StructField(n, t) for n, t in zip(names, (T.BinaryType(), T.BinaryType(), T.ArrayType(T.LongType())), strict=True)]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, bits: int = 256, max_bits: int = 48, similarity: float = 0.8) -> DataFrame:
@@ -438,15 +487,22 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     many there are, and are linked if at most max_bits of the bits of their smallest hashes differ (0.1 of them at likeness 0.8 on
     average, 25.6 give or take 4.8 of 256). Inside loose groups, shingles themselves decide.
     """
-    docs = written(with_sketches(df, text, k, bits), "printed").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_file", "_row")
-    nodes = docs.groupBy(F.col("_set").alias("set")).agg(F.min(first).alias("first"), F.first("_print").alias("print"), F.first("_bands").alias("bands"))
+    names = tuple(free(df.columns, n) for n in ("_set", "_print", "_bands"))
+    rows = written(with_sketches(df, text, k, bits, names), "printed")
+    place = rows.metadataColumn("_metadata")
+    docs = rows.select(F.col(f"`{key}`").alias("key"), *[F.col(n).alias(m) for n, m in zip(names, ("set", "print", "bands"), strict=True)], place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "_file", "_row")
+    nodes = docs.groupBy("set").agg(F.min(first).alias("first"), F.first("print").alias("print"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    loose = components(links_of(nodes.select(F.explode("bands").alias("bucket"), "print"), max_bits), "loose")
-    loose = nodes.join(loose, nodes["print"] == loose["node"], "left").select("set", "first", F.coalesce("label", "print").alias("bucket"))
-    several = loose.groupBy("bucket").count().filter("count > 1").select("bucket")
-    unsure = loose.join(several, "bucket", "left_semi").select("bucket", "set", "first._file", "first._row")
+    total = nodes.count()
+    bands = written(nodes.select(F.explode("bands").alias("bucket"), "print").distinct(), "bands")
+    loose = written(components(links_of(bands, max_bits), "loose"), "loose-labels")
+    loose = looked_up(nodes.select("set", "first", "print"), "print", loose, "node", total)
+    loose = written(loose.select("set", "first", F.xxhash64(F.coalesce("label", "print")).alias("bucket")), "loose-groups")
+    several = loose.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
+    unsure = looked_up(loose, "bucket", several, "_bucket", total).filter("n > 1").select("bucket", "set", "first._file", "first._row")
     same = components(alike(written(texts_at(unsure, text), "unsure-texts"), text, k, similarity), "same")
     named = nodes.join(same, nodes["set"] == same["node"], "left").select("first", F.coalesce("label", "set").alias("label"))
     keepers = named.groupBy("label").agg(F.min("first").alias("first")).select("first._file", "first._row")
-    return docs.join(keepers, ["_file", "_row"], "left_semi").select(*df.columns)
+    kept = rows.join(keepers, (place["file_path"] == keepers["_file"]) & (place["row_index"] == keepers["_row"]), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

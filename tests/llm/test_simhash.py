@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sourcesieve.llm import simhash
 
@@ -71,10 +72,65 @@ def test_tiles_lose_no_link(spark):
     while len(values) < 300:
         new = rng.choice(values) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
         values += [new] if new not in values else []
+    values += [rng.getrandbits(64) for _ in range(40)]  # and strays
+    for _ in range(100):
+        new = values[rng.randrange(300, len(values))] ^ (1 << rng.randrange(64))
+        values += [new] if new not in values else []
     nodes = spark.createDataFrame([(p.to_bytes(8, "big"),) for p in values], "print binary")
-    edges = simhash.links(nodes, 4, simhash.bit_tables(300, 64, 4), tile=16)
-    labels = {bytes(r.node): bytes(r.label) for r in simhash.components(edges).collect()}
-    assert len(set(labels.values())) == 1 and len(labels) == len(values)
+    # one bucket for all, as no bit is looked at, and the tables of the query
+    for tables in ([[]], simhash.bit_tables(300, 64, 4)):
+        edges = simhash.links(nodes, 4, tables, tile=16)
+        labels = {bytes(r.node): bytes(r.label) for r in simhash.components(edges).collect()}
+        want = plain_components(values, values)
+        assert {v: int.from_bytes(labels.get(v.to_bytes(8, "big"), v.to_bytes(8, "big"))) for v in values} == want
+        assert all(len(e) == 2 and (int.from_bytes(e.a) ^ int.from_bytes(e.b)).bit_count() <= 64 for e in edges.collect())
+
+
+def test_rows_of_a_dense_bucket_grow_with_its_nodes(spark):
+    """All are linked to the centre in their tiles: a tile more is a row more, not a copy of the bucket."""
+    nodes = spark.range(4000).select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("print"))
+    shared = simhash.written(simhash.bucket_rows(nodes, [[]]), "dense")
+    plan = []
+    whole = simhash.met
+    try:
+        simhash.met = lambda rows, *a: (plan.append(rows.count()), whole(rows, *a))[1]
+        simhash.joined_in_buckets(shared, "print", lambda group, part: simhash.links_in(group, simhash.words_of(part.column("print").combine_chunks()), 12)[:2], 100).count()
+    finally:
+        simhash.met = whole
+    assert plan == [4000 + 40 - 1]
+
+
+def test_hubs_stay_where_they_are(spark):
+    """Stars of thousands, linked in a chain: one component, and lookups give what a join does."""
+    name = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    edges = spark.range(6000).select(name(F.col("id") + 100).alias("a"), name(F.col("id") % 3).alias("b"))
+    edges = edges.union(spark.range(1, 3).select(name(F.col("id")).alias("a"), name(F.col("id") - 1).alias("b")))
+    labels = simhash.components(edges)
+    assert labels.count() == 6003 and {bytes(r.label) for r in labels.select("label").distinct().collect()} == {bytes(8)}
+
+
+def test_pivots_discard_pairs_of_long_prints():
+    """Members of the bucket as pivots tell groups of copies apart: what is verified are near pairs."""
+    rng = np.random.default_rng(1)
+    near = lambda base, n: base ^ (np.uint64(1) << rng.integers(0, 64, (n, 4)).astype(np.uint64))
+    new = lambda: rng.integers(0, 1 << 63, 4).astype(np.uint64)
+    buckets = [np.concatenate([near(new(), 6), near(new(), 6)]) for _ in range(50)] + [np.concatenate([near(new(), 100) for _ in range(4)])]
+    words, group = np.concatenate(buckets), np.repeat(np.arange(51), [*[12] * 50, 400])
+    a, b, verified = simhash.links_in(group, words, 48)
+    label = simhash._forest(len(group), a, b)
+    assert len(set(label.tolist())) == 104
+    near, others = 50 * 2 * 15 + 4 * 100 * 99 / 2, 50 * 36 + 6 * 100 * 100
+    assert verified < near + 0.2 * others
+
+
+def test_looked_up_equals_a_left_join(spark):
+    from sourcesieve.llm.shared import looked_up
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)] + [(-1, None)], "i int, k string")
+    table = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("other", 4)], "at string, v int")
+    for total in (3001, 10**9):
+        got = looked_up(rows, "k", table, "at", total)
+        assert sorted(map(repr, got.select("i", "v").collect())) == sorted(map(repr, rows.join(table, rows.k == table.at, "left").select("i", "v").collect()))
 
 
 def test_forest_by_offsets():
@@ -102,8 +158,9 @@ def test_deduplicated_keeps_one_row_of_each_group(spark):
         near[100] = "changed"
         data += [(i * 10, " ".join(near), "b"), (i * 10 + 2, " ".join(ws), "c")]
     data += [(0, data[1][1], "twin"), (None, data[0][1], "no id"), (None, "only this one has no id", "alone"), (7000, None, "none"), (7001, "", "empty")]
-    df = spark.createDataFrame([(k, t, s, 1) for k, t, s in data], "doc_id long, text string, source string, _row_ int")
+    df = spark.createDataFrame([(k, t, s, 1, "f", 2, b"p", "s", "m", 3, 4) for k, t, s in data], "doc_id long, text string, source string, _row int, _file string, key int, _print binary, _SET string, bucket string, label int, n int")
     got = simhash.deduplicated(df)
+    assert {(r._row, r._file, r._SET, bytes(r._print)) for r in got.collect()} == {(1, "f", "s", b"p")}
     assert got.columns == df.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted([str(i * 10) for i in range(30)] + ["None", "7000"])
     assert simhash.deduplicated(df.limit(0)).collect() == []
