@@ -48,6 +48,7 @@ SEED = 42
 PIVOTS = 16
 TILE = 4096
 SET_TILE = 1024
+WIDTH = 8192
 #: Bands of smallest hashes: a pair of likeness 0.8 agrees in a whole band with probability 1 - (1 - 0.8 ** 4) ** 24 = 0.999999.
 BANDS, BAND = 24, 4
 #: Fixed references, for up to 256 bits: words of a splitmix64 sequence.
@@ -367,68 +368,78 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 def alike_in(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect, inside equal groups, all sets whose Jaccard likeness is similarity or more; each edge is such a pair.
 
-    sets are sorted. Two sets that are alike share one of their smallest members, of all but ceil(similarity * size) - 1 (a prefix
-    filter, which misses none). Pairs at each offset among the owners of a member are taken together; what is known to be
-    connected isn't looked at again, nor a pair that was refused.
+    group is sorted. How many members any two sets of a group share comes from products of 0/1 matrices, WIDTH members at a time;
+    members of one set alone don't count. Work depends on how many sets and members there are, not on which are alike.
     """
-    n = len(sets)
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=n)
-    heads = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
-    owner = np.repeat(np.arange(n), heads)
-    member = np.concatenate([x[:h] for x, h in zip(sets, heads.tolist(), strict=True)]) if n else np.array([], dtype=np.uint64)
-    order = np.lexsort((owner, member, group[owner]))
-    owner, member = owner[order], member[order]
-    run = np.cumsum(np.r_[True, (member[1:] != member[:-1]) | (group[owner[1:]] != group[owner[:-1]])]) if len(owner) else owner
-    label = np.arange(n)
-    refused = np.array([], dtype=np.int64)
-    left, right = [], []
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    step = 1
-    while len(owner) > step:
-        i = np.flatnonzero(run[step:] == run[:-step])
-        if not len(i):
-            break
-        a, b = owner[i], owner[i + step]
-        open_ = (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
-        pairs = np.setdiff1d(a[open_] * n + b[open_], refused)
-        failed, before = [], len(left)
-        for pair in pairs.tolist():
-            x, y = divmod(pair, n)
-            p, q = root(x), root(y)
-            if p == q:
-                continue
-            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if shared >= similarity * (len(sets[x]) + len(sets[y]) - shared) - 1e-9:
-                label[max(p, q)] = min(p, q)
-                left.append(x)
-                right.append(y)
-            else:
-                failed.append(pair)
-        refused = np.union1d(refused, np.array(failed, dtype=np.int64))
-        if len(left) > before:
-            while not np.array_equal(label, label[label]):
-                label = label[label]
-            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            undecided = np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts)
-            keep = np.repeat(undecided, np.diff(np.r_[starts, len(owner)]))
-            owner, run = owner[keep], run[keep]
-        step += 1
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    left, right = [np.array([], dtype=np.int64)], [np.array([], dtype=np.int64)]
+    for start, end in itertools.pairwise([*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)] if len(group) else []):
+        n = end - start
+        if n < 2:
+            continue
+        sizes = np.fromiter(map(len, sets[start:end]), dtype=np.int64, count=n)
+        owner, member = np.repeat(np.arange(n), sizes), np.concatenate(sets[start:end])
+        _, of, count = np.unique(member, return_inverse=True, return_counts=True)
+        several = count > 1
+        column = np.where(several, np.cumsum(several) - 1, -1)[of]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((n, n), dtype=np.float32)  # counts up to 2 ** 24 are exact
+        for first in range(0, int(several.sum()), WIDTH):
+            i, j = np.searchsorted(column, (first, first + WIDTH))
+            block = np.zeros((n, min(WIDTH, int(several.sum()) - first)), dtype=np.float32)
+            block[owner[i:j], column[i:j] - first] = 1
+            shared += block @ block.T
+        a, b = np.nonzero(np.triu((shared >= similarity * (sizes[:, None] + sizes - shared.astype(np.float64)) - 1e-9) & (shared > 0), 1))
+        label = np.arange(n)
+        while len(a):  # each component takes one edge that leads out of it
+            some = np.union1d(*(np.unique(label[x], return_index=True)[1] for x in (a, b)))
+            left.append(a[some] + start)
+            right.append(b[some] + start)
+            label = _forest(n, np.r_[a[some], label], np.r_[b[some], np.arange(n)])
+            out = label[a] != label[b]
+            a, b = a[out], b[out]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def tile_pairs(rows: DataFrame, tile: int, node: str) -> DataFrame:
+    """rows (bucket, ...) with part: large buckets as pairs of tiles; a node goes to the pairs that hold its tile. rows: a written table."""
+    sizes = rows.groupBy("bucket").count().filter(F.col("count") > tile)
+    large = written(sizes.select(F.col("bucket").alias("_bucket"), F.ceil(2 * F.col("count") / tile).cast("long").alias("tiles")), "large-buckets")
+    found = looked_up(rows, "bucket", large, "_bucket", rows.count())
+    own = F.pmod(F.xxhash64(node), F.col("tiles"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: F.shiftleft(F.least(own, j), 32).bitwiseOR(F.greatest(own, j)))
+    return found.select(*rows.columns, F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(parts)).alias("part"))
 
 
 def alike(rows: DataFrame, text: str, k: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
     """(a, b): edges between the sets of rows (bucket, set, text) that connect all that are alike inside a bucket. rows: a written
-    table."""
+    table. Large buckets go out as pairs of tiles: a loose group is mostly of nodes that are not alike, so no centre would do."""
 
-    def find(group: np.ndarray, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return alike_in(group, [np.unique(shingle_hashes((t.as_py() or "").encode(), k)) for t in part.column(text)], similarity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, names, sets, size, last, number = [], [], [], 0, None, 0
 
-    return joined_in_buckets(rows, "set", find, tile)
+        def edges() -> Iterator[pa.RecordBatch]:
+            a, b = alike_in(np.array(groups), sets, similarity)
+            if len(a):
+                own = pa.array(names, pa.binary())
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(a)), own.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, part, name, words in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if (here := (bucket.as_py(), part.as_py())) != last:
+                    if size > 1 << 21:
+                        yield from edges()
+                        groups, names, sets, size = [], [], [], 0
+                    last, number = here, number + 1
+                groups.append(number)
+                names.append(name.as_py())
+                sets.append(np.unique(shingle_hashes((words.as_py() or "").encode(), k)))
+                size += len(sets[-1])
+        if sets:
+            yield from edges()
+
+    dealt = tile_pairs(rows, tile, "set").select("bucket", "part", "set", text).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def texts_at(wanted: DataFrame, text: str) -> DataFrame:
