@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 8_000_000
+#: Longer pieces aren't kept: a table of pieces is bounded in bytes, too.
+LONGEST = 256
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
@@ -57,7 +59,8 @@ def gather(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np
 
 
 class PieceTable:
-    """What is known of pieces, in two generations of size entries at most: what the older one no longer gets asked for goes."""
+    """What is known of pieces of up to LONGEST bytes, in two generations of size entries at most: what the older one no longer gets
+    asked for goes."""
 
     def __init__(self, size: int = 300_000):
         self.size = size
@@ -83,7 +86,9 @@ class PieceTable:
             part = missing[j : j + 20_000]
             words = [wanted[i] for i in part]
             for i, word, x in zip(part, words, self.learn(words), strict=True):
-                found[i] = self.new[word] = x
+                found[i] = x
+                if len(word) <= LONGEST:
+                    self.new[word] = x
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,15 @@
 r"""Quality classifier: supervised subword embeddings.
 
-A piece (run without ASCII white space) has the average of the vectors of its own hash and of the hashes of its character n-grams;
-a piece that equals the one before it has the vector of such pairs instead. A document is the average over its pieces, and softmax
-over two outputs gives its score. Vectors and outputs are learned together by stochastic gradient descent in numpy, on the driver.
+Vectors of hashed n-grams are learned: of each piece (run without ASCII white space) and of the n-grams of its characters (code
+points, its edges marked), whose average stands for the piece; and for each two pieces that follow each other, of the pair as a
+word bigram, and of the character n-grams across the white space between them (one and two characters of each). A document is the
+average of all these, and softmax over two outputs gives its score. Vectors and outputs are learned together by stochastic gradient
+descent in numpy, on the driver.
 
-Training reads a bounded sample of labelled rows: SAMPLE_ROWS rows of the training folds with the smallest hashes of their keys,
-fewer if their texts pass SAMPLE_BYTES together; its tables of sample keys and texts have that bound, too. The model is BUCKETS x DIM numbers. Scoring reads every whole text and shuffles
-nothing.
+Training reads a bounded sample of labelled rows: SAMPLE_ROWS rows of the training folds with the smallest hashes of their keys, in
+whose order texts are taken as long as they fit into SAMPLE_BYTES together; its tables of sample keys and sizes have that bound, too.
+The model is 2 x BUCKETS x DIM numbers. Scoring reads every whole text and shuffles nothing; as outputs are linear, a vector's
+product with them is taken once for each bucket.
 
 Edge cases: texts without pieces (null, empty, white space) score the sample's share of label 1; a null key is in no held-out fold
 and has no label; without any labelled row, or with one class only, every score is that share (1 without rows), within a
@@ -15,9 +18,11 @@ millionth; keys that repeat are each scored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,112 +33,146 @@ from pyspark.sql import types as T
 from sourcesieve.llm.pieces import PieceTable, blocks, gather, raw, split
 from sourcesieve.llm.shared import written
 
-BUCKETS, DIM = 1 << 16, 8
+BUCKETS, DIM = 1 << 16, 8  # as many buckets again for word bigrams
 NGRAMS = (1, 2, 3)
+BESIDE = 3  # n-grams of two neighbours
 FOLDS = 5
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 24_000_000
-EPOCHS, RATE, BATCH = 8, 0.3, 32
+EPOCHS, RATE, BATCH = 12, 0.4, 32
 SEED = 7
 THRESHOLD = 0.3
-
-
-#: The bucket of a pair of equal pieces, whichever they are: stands for the second one.
-AGAIN = np.uint32(zlib.crc32(b"again") % BUCKETS).tobytes()
+PART = 1 << 18
 
 
 class Grams(PieceTable):
-    """Bucket numbers of pieces: of the piece, and of its n-grams with its edges marked."""
+    """Of each piece, as unsigned 32-bit numbers: hashes of all of it, of its first and last character, and of its first and last
+    two; then the bucket of the piece, and those of its n-grams."""
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         out = []
         for piece in missing:
-            marked = b"<" + piece + b">"
+            text = f"<{piece.decode()}>"
+            data = text.encode()
+            at = range(len(data) + 1) if len(data) == len(text) else [0, *itertools.accumulate(len(c.encode()) for c in text)]
+            n = len(text)
+            cut = lambda i, j: zlib.crc32(data[at[i] : at[j]])  # noqa: E731, B023
+            heads = [zlib.crc32(piece), cut(1, 2), cut(n - 2, n - 1), cut(1, min(3, n - 1)), cut(max(1, n - 3), n - 1)]
             # of a long run without white space, every n-gram counts, too
-            grams = [zlib.crc32(piece), *[zlib.crc32(marked[i : i + n]) for n in NGRAMS for i in range(len(marked) - n + 1)]]
-            out.append((np.array(grams, dtype=np.uint32) % BUCKETS).astype("<u4").tobytes())
+            grams = np.array([heads[0], *[cut(i, i + k) for k in NGRAMS for i in range(n - k + 1)]], dtype=np.uint32) % BUCKETS
+            out.append(np.r_[np.array(heads, dtype=np.uint32), grams].astype("<u4").tobytes())
         return out
 
 
+HEADS = 5
+
+
 @dataclass
 class Model:
-    vectors: np.ndarray  # BUCKETS x DIM
+    vectors: np.ndarray  # 2 * BUCKETS x DIM
     output: np.ndarray  # DIM + 1: difference of the two softmax rows, and of their biases
     prior: float  # share of label 1 in the sample, for documents without pieces
 
     def score(self, documents: np.ndarray) -> np.ndarray:
-        z = documents @ self.output[:-1] + self.output[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return logistic(documents @ self.output[:-1] + self.output[-1])
+
+    @cached_property
+    def products(self) -> np.ndarray:
+        """Of each bucket's vector with the outputs."""
+        return self.vectors.astype(np.float64) @ self.output[:-1]
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+@dataclass
+class Pieces:
+    """Of some texts: where the pieces of each begin, and the code of each piece; of each code its heads, how many buckets, and all."""
+
+    edges: np.ndarray
+    codes: np.ndarray
+    heads: np.ndarray
+    lengths: np.ndarray
+    buckets: np.ndarray
+
+    def beside(self, a: int, b: int) -> np.ndarray:
+        """The BESIDE buckets (rows) of each piece from a to b with the piece after it."""
+        left, right = self.heads[self.codes[a:b]].astype(np.uint64), self.heads[self.codes[a + 1 : b + 1]].astype(np.uint64)
+        mixed = lambda x, y, k: ((x * np.uint64(0x9E3779B97F4A7C15) + y * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)).astype(np.int64) % BUCKETS
+        return np.stack([BUCKETS + mixed(left[:, 0], right[:, 0], 1), mixed(left[:, 2], right[:, 1], 2), mixed(left[:, 4], right[:, 3], 3)])
 
 
-def features(texts: pa.Array, table: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: where its pieces begin; the code of each piece; of each code: how many buckets, and all of them."""
+def pieces_of(texts: pa.Array, table: Grams) -> Pieces:
     edges, codes, distinct = split(texts)
-    data = [*table.lookup(raw(distinct)), AGAIN]
-    if len(codes):
-        again = np.r_[False, codes[1:] == codes[:-1]]
-        again[edges[:-1][edges[:-1] < len(codes)]] = False
-        codes = np.where(again, len(distinct), codes)
-    return edges, codes, np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4, np.frombuffer(b"".join(data), dtype="<u4")
+    data = table.lookup(raw(distinct))
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+    flat = np.frombuffer(b"".join(data), dtype="<u4")
+    starts = np.cumsum(sizes) - sizes
+    heads = flat[starts[:, None] + np.arange(HEADS)] if len(data) else np.zeros((0, HEADS), dtype="<u4")
+    own = np.ones(len(flat), dtype=bool)
+    own[(starts[:, None] + np.arange(HEADS)).ravel()] = False
+    return Pieces(edges, codes, heads, sizes - HEADS, flat[own])
 
 
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The sum of values (rows) between edges; zero where there are none."""
-    out = np.zeros((len(edges) - 1, values.shape[1]), dtype=values.dtype)
+    out = np.zeros((len(edges) - 1, *values.shape[1:]), dtype=values.dtype)
     some = np.flatnonzero(edges[1:] > edges[:-1])
     if len(some):
         out[some] = np.add.reduceat(values, edges[some], axis=0)
     return out
 
 
-def piece_vectors(model: Model, lengths: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """The average of each piece's bucket vectors; a bounded part at a time."""
-    ends = np.r_[0, np.cumsum(lengths)]
-    out = np.empty((len(lengths), model.vectors.shape[1]), dtype=np.float32)
-    for i in range(0, len(lengths), 50_000):
-        j = min(i + 50_000, len(lengths))
-        out[i:j] = sums(model.vectors[buckets[ends[i] : ends[j]]], ends[i : j + 1] - ends[i])
-    return out / np.maximum(lengths, 1)[:, None].astype(np.float32)
-
-
-def documents(model: Model, texts: pa.Array, table: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """The average of each text's pieces, and how many it has."""
-    edges, codes, lengths, buckets = features(texts, table)
-    vectors = piece_vectors(model, lengths, buckets)
-    out = np.empty((len(edges) - 1, vectors.shape[1]), dtype=np.float64)
-    for i in range(0, len(out), 256):
-        part = edges[i : i + 257]
-        out[i : i + 256] = sums(vectors[codes[part[0] : part[-1]]], part - part[0])
-    return out / np.maximum(np.diff(edges), 1)[:, None], np.diff(edges)
-
-
 def scores(model: Model, texts: pa.Array, table: Grams) -> np.ndarray:
-    average, n = documents(model, texts, table)
-    return np.where(n > 0, model.score(average), model.prior)
+    """A bounded part of all pieces at a time."""
+    p = pieces_of(texts, table)
+    value, ends = np.empty(len(p.lengths)), np.r_[0, np.cumsum(p.lengths)]
+    for i in range(0, len(p.lengths), 50_000):
+        j = min(i + 50_000, len(p.lengths))
+        value[i:j] = sums(model.products[p.buckets[ends[i] : ends[j]]], ends[i : j + 1] - ends[i]) / p.lengths[i:j]
+    n = np.diff(p.edges)
+    total = np.zeros(len(n))
+    last = np.zeros(len(p.codes), dtype=bool)
+    last[p.edges[1:][n > 0] - 1] = True
+    owner = np.repeat(np.arange(len(n)), n)
+    for i in range(0, len(p.codes), PART):
+        j = min(i + PART, len(p.codes))
+        total += np.bincount(owner[i:j], value[p.codes[i:j]], minlength=len(n))
+        j = min(j, len(p.codes) - 1)
+        beside = model.products[p.beside(i, j)].sum(axis=0)
+        beside[last[i:j]] = 0.0
+        total += np.bincount(owner[i:j], beside, minlength=len(n))
+    count = n + BESIDE * np.maximum(n - 1, 0)
+    return np.where(n > 0, logistic(total / np.maximum(count, 1) + model.output[-1]), model.prior)
+
+
+def bags_of(texts: pa.Array, table: Grams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text as its buckets, and their shares."""
+    p = pieces_of(texts, table)
+    for a, b in itertools.pairwise(p.edges.tolist()):
+        own = p.codes[a:b]
+        n = len(own) + BESIDE * max(len(own) - 1, 0)
+        of, _ = gather(own, p.lengths, p.buckets)
+        beside = p.beside(a, max(b - 1, a)).ravel()
+        weight = np.r_[np.repeat(1 / p.lengths[own], p.lengths[own]), np.ones(len(beside))] / max(n, 1)
+        bag, place = np.unique(np.r_[of.astype(np.int64), beside], return_inverse=True)
+        yield bag.astype(np.int32), np.bincount(place, weight, minlength=len(bag)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Gradient steps on batches of documents in a seeded order; each class weighs the same."""
     share = float(labels.mean()) if len(labels) else 1.0
     random = np.random.default_rng(SEED)
-    vectors = ((random.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM).astype(np.float32)
+    vectors = ((random.random((2 * BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM).astype(np.float32)
     output = np.r_[random.standard_normal(DIM) / DIM, 0.0]
     output[-1] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
     model = Model(vectors, output, share)
     if not 0 < share < 1:
         return Model(vectors * 0, output, share)
-    # a document as shares of buckets, once for all epochs
     table = Grams()
-    bags: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(texts), 200):
-        edges, codes, lengths, buckets = features(pa.array(texts[i : i + 200], pa.string()), table)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = codes[a:b]
-            of, _ = gather(own, lengths, buckets)
-            weight = np.repeat(1 / lengths[own], lengths[own]) / max(len(own), 1)
-            bag, place = np.unique(of, return_inverse=True)
-            bags.append((bag, np.bincount(place, weight, minlength=len(bag)).astype(np.float32)))
+    bags = [bag for i in range(0, len(texts), 200) for bag in bags_of(pa.array(texts[i : i + 200], pa.string()), table)]  # once for all epochs
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    seen, seen_out = np.full(BUCKETS, 1e-12, dtype=np.float32), np.full(DIM + 1, 1e-12)  # squared gradients so far: steps shrink by their root
+    seen, seen_out = np.full(len(vectors), 1e-12, dtype=np.float32), np.full(DIM + 1, 1e-12)  # squared gradients so far: steps shrink by their root
     for _ in range(EPOCHS):
         order = random.permutation(len(bags))
         for i in range(0, len(order), BATCH):
@@ -144,7 +183,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             hidden = sums(vectors[of] * weight[:, None], np.r_[0, np.cumsum(counts)]).astype(np.float64)
             wrong = (model.score(hidden) - labels[own]) * balance[own] / len(own)
             # the gradient of a vector is the output's row, by the sum of its weights in documents that are wrong
-            pull = np.bincount(of, weight * np.repeat(wrong, counts), minlength=BUCKETS)
+            pull = np.bincount(of, weight * np.repeat(wrong, counts), minlength=len(vectors))
             moved = np.flatnonzero(pull)
             pull = pull[moved].astype(np.float32)
             seen[moved] += pull * pull
@@ -162,15 +201,21 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[str], np.ndarray]:
     """Texts and labels of the training sample: at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes reach the driver.
 
-    Texts of over a hundredth of SAMPLE_BYTES aren't sampled; of a key's several labels or texts the smallest counts.
+    A text that doesn't fit into what is left of SAMPLE_BYTES is passed over; of a key's several labels or texts the smallest counts.
     """
     order = (F.xxhash64("_key"), "_key")
     named = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(key)) & F.col(key).isNotNull())
     some = named.groupBy(F.col(key).alias("_key")).agg(F.min(F.col(label).cast("int")).alias("_label")).orderBy(*order).limit(SAMPLE_ROWS)
-    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).filter(F.octet_length("_text") <= SAMPLE_BYTES // 100)
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = written(texts.join(F.broadcast(some), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")), "sample")
-    sizes = found.select("_key", F.sum(F.octet_length("_text")).over(Window.orderBy(*order)).alias("_sum")).filter(F.col("_sum") <= SAMPLE_BYTES)
-    rows = sorted(tuple(r) for r in found.join(F.broadcast(sizes), "_key", "left_semi").select("_key", "_text", "_label").collect())
+    sizes = found.select("_key", F.octet_length("_text").alias("_size"), F.row_number().over(Window.orderBy(*order)).alias("_place"))
+    left, taken = SAMPLE_BYTES, [-1]
+    for size, place in sizes.select("_size", "_place").orderBy("_place").collect():
+        if size <= left:
+            left -= size
+            taken.append(place)
+    wanted = F.broadcast(sizes.filter(F.col("_place").isin(taken)).select("_key"))
+    rows = sorted(tuple(r) for r in found.join(wanted, "_key", "left_semi").select("_key", "_text", "_label").collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.float64)
 
 
