@@ -2,13 +2,16 @@ r"""WARC archives with revisit records.
 
 Write: SHA-1 digests of the payloads are grouped (summed before the exchange), payloads that occur more than once are joined to
 the record that keeps them, and every page becomes a response, or a revisit with fresh headers and no payload. Records are written
-by Spark's text writer, whose line separator is the blank lines that end a record; so its commit protocol covers archives, too.
+by Spark's text writer, whose line separator is the blank lines that end a record; so its commit protocol covers archives, too. A
+record's id is made of its key, whether that is null, and its payload's digest.
 
-Read: tasks stream through their archives by Content-Length. Payload facts of a revisit come from the response it refers to.
+Read: Spark deals archives out by their bytes, and tasks stream through them by Content-Length. A revisit gets its payload's facts
+from the response that has its digest and the id it refers to.
 
 Edge cases: null payloads are empty; of equal payloads the largest id is the response and rows that share it are responses, too; a
-null id never is the largest, and where all are null all are responses; ids and URLs may hold any text, control characters in
-headers are percent-coded; an empty table gives no records; other columns are ignored.
+null id never is the largest, and where all are null all are responses; an id may repeat with other payloads, and rows that repeat
+whole have equal records; ids and URLs may hold any text, control characters in headers are percent-coded; an empty table gives no
+records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcesieve.llm.shared import written
+from sourcesieve.llm.shared import looked_up, written
 
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,8 +61,8 @@ def safe(value: Column) -> Column:
     return out
 
 
-def record_id(key: Column) -> Column:
-    hexed = F.sha2(F.coalesce(key.cast("string"), F.lit("null")), 256)
+def record_id(key: Column, digest: Column) -> Column:
+    hexed = F.sha2(F.concat(digest, F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit(""))), 256)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(hexed, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -71,13 +74,13 @@ def write_archives(pages: DataFrame, to: str, key: str = "page_id", url: str = "
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", record_id(F.col(key))),
+        line("WARC-Record-ID", record_id(F.col(key), F.col("digest"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", safe(F.col(url)) if url in pages.columns else F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         line("X-Key", safe(F.col(key)), F.col(key).isNotNull()),
         line("WARC-Profile", F.lit(PROFILE), revisit),
-        line("WARC-Refers-To", record_id(F.col("refers_to")), revisit),
+        line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("digest")), revisit),
         line("X-Refers-To-Key", safe(F.col("refers_to")), revisit),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
@@ -106,7 +109,8 @@ SCHEMA = "record_id string, record_type string, key string, url string, refers_t
 
 
 def read_archives(spark: SparkSession, path: str, batch_rows: int = 2000, payload: bool = False) -> DataFrame:
-    """Headers and payload facts of all records below path, and the payload itself if asked for. A task takes one archive at a time."""
+    """Headers and payload facts of all records below path, and the payload itself if asked for. A task takes one archive at a time;
+    how many archives it gets, their bytes decide (spark.sql.files.maxPartitionBytes)."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # lists files, reads none
     names = ["record_id", "record_type", "key", "url", "refers_to", "refers_to_id", "declared_digest", "payload_bytes", "payload_digest", "payload"][: 10 if payload else 9]
     kinds = [*[pa.string()] * 7, pa.int64(), pa.string(), pa.binary()][: len(names)]
@@ -132,7 +136,7 @@ def read_archives(spark: SparkSession, path: str, batch_rows: int = 2000, payloa
         if rows:
             yield batch_of(rows)
 
-    return files.repartition(F.col("path")).mapInArrow(run, SCHEMA + (", payload binary" if payload else ""))
+    return files.mapInArrow(run, SCHEMA + (", payload binary" if payload else ""))
 
 
 class Lines:
@@ -172,12 +176,15 @@ class Lines:
 
 
 def payload_facts(read: DataFrame) -> DataFrame:
-    """Every record with the size and digest of its full payload; a revisit has them from the response it refers to."""
-    facts = read.select("record_id", "record_type", "key", "refers_to", "refers_to_id", "payload_bytes", "payload_digest")
+    """Every record with the size and digest of its full payload; a revisit has them from the response with its digest and the id
+    it refers to."""
+    facts = read.select("record_id", "record_type", "key", "refers_to", "refers_to_id", "declared_digest", "payload_bytes", "payload_digest")
     facts = written(facts, "warc-headers")
     kept = facts.filter("record_type = 'response'")
-    again = facts.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
-    # ids may repeat: one response per id
-    responses = kept.groupBy(F.col("record_id").alias("_id")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
-    found = again.join(responses, F.col("refers_to_id") == F.col("_id"), "left").drop("_id")
-    return kept.unionByName(found)
+    original = F.concat_ws(" ", "payload_digest", "record_id").alias("_original")
+    # records of rows that repeat whole are equal: one of them
+    responses = kept.select(original, F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
+    again = facts.filter("record_type = 'revisit'").withColumn("_wants", F.concat_ws(" ", "declared_digest", "refers_to_id"))
+    found = looked_up(again, "_wants", responses, "_original", facts.count())
+    found = found.withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("_digest")})
+    return kept.unionByName(found.drop("_wants", "_original", "_bytes", "_digest")).drop("declared_digest")

@@ -61,3 +61,28 @@ def test_small_payloads_stay_responses(spark):
 def test_no_rows(spark):
     _, read = written_and_read(spark, pages(spark, []))
     assert warc.payload_facts(read).collect() == []
+
+
+def test_repeated_ids_with_other_payloads(spark):
+    data = [(1, "aaa"), (5, "aaa"), (5, "zzzzzz"), (2, "zzzzzz"), (5, "zzzzzz"), (None, "aaa"), (None, "null"), (7, None)]
+    rows = [(k, "u", h, None, 1) for k, h in data]
+    _, read = written_and_read(spark, pages(spark, rows).repartition(3))
+    got = sorted((str(r.key), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.payload_facts(read).collect())
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    keeper = {"aaa": 5, "zzzzzz": 5, "null": None, None: 7}
+    want = [(str(k), "response" if k == keeper[h] else "revisit", None if k == keeper[h] else str(keeper[h]), len(h or ""), digest(h)) for k, h in data]
+    assert got == sorted(want, key=lambda x: tuple(map(str, x))) or sorted(map(repr, got)) == sorted(map(repr, want))
+    ids = {(r.record_id, r.key, r.declared_digest) for r in read.collect()}
+    assert len({i for i, *_ in ids}) == len(ids)
+
+
+def test_null_key_is_not_the_key_null(spark):
+    df = spark.createDataFrame([(None, "u", "x"), ("null", "u", "x"), ("", "u", "x")], "page_id string, url string, html string")
+    _, read = written_and_read(spark, df)
+    assert len({r.record_id for r in read.collect()}) == 3
+
+
+def test_archives_are_dealt_out_by_bytes(spark):
+    df = pages(spark, [(i, "u", f"{i} " * 2000, None, 1) for i in range(64)]).repartition(8)
+    _, read = written_and_read(spark, df)
+    assert read.rdd.getNumPartitions() >= 4
