@@ -2,9 +2,10 @@ r"""Secret scans: three fixed patterns, and windows of high entropy in candidate
 
 Candidates are runs of 20 and more of ``[A-Za-z0-9+/=_-]``. A window of WINDOW characters slides over a candidate; the counts of
 its characters change by one in and one out, and with them the sum of c log2 c that gives Shannon entropy. Stretches of windows
-above the threshold of the candidate's character class become spans of kind ``entropy``, unless the candidate is on the
-allow-list. Spans of fixed patterns, and allowed words that stand alone between separators, are cut out of stretches; what is left
-is kept from a window on, unless an allow-list pattern for parts (``.*word.*``) matches it.
+above the threshold of the candidate's character class become spans of kind ``entropy``, beside spans of fixed patterns in the same
+place, unless the candidate is on the allow-list. Allowed words that stand alone between separators are cut out of stretches; what is
+left is kept from a window on, unless an allow-list pattern for parts (``.*word.*``) matches it; then what lies outside of fixed spans
+is looked at by itself. Work is linear in a text's length.
 
 Arrow's RE2 first tells which texts can have a match at all; patterns run in Python over those alone, over whole texts.
 
@@ -14,7 +15,9 @@ scanned; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from math import log2
@@ -102,12 +105,16 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _remainders(start: int, end: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What the cuts, in order of their starts, leave of [start, end), where it has WINDOW characters."""
-    for a, b in [*cuts, (end, end)]:
-        if min(a, end) - start >= WINDOW:
-            yield start, min(a, end)
-        start = max(start, b)
+def _remainders(stretches: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What cuts leave of stretches, where it has WINDOW characters; both in order, none meeting another of its kind."""
+    i = 0
+    for start, end in stretches:
+        while i < len(cuts) and cuts[i][1] <= start:
+            i += 1
+        for a, b in [*itertools.takewhile(lambda c: c[0] < end, itertools.islice(cuts, i, None)), (end, end)]:  # noqa: B023
+            if min(a, end) - start >= WINDOW:
+                yield start, min(a, end)
+            start = max(start, b)
 
 
 def _plain_words(run: str, inside: list[re.Pattern]) -> list[tuple[int, int]]:
@@ -116,9 +123,22 @@ def _plain_words(run: str, inside: list[re.Pattern]) -> list[tuple[int, int]]:
     return [m.span() for m in found if any(a.fullmatch(m[0]) for a in inside)]
 
 
+def _covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """Where spans (in order) are, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(text: str, allowed: tuple[re.Pattern, ...], assign: bool = True, runs: bool = True) -> tuple[list[Span], list[Span]]:
     """The spans of the fixed patterns, and those that entropy adds; both in order."""
     base = in_order(base_spans(text, assign, runs))
+    covered = _covered(base)
+    ends = [b for _, b in covered]
     inside = [a for a in allowed if PART.fullmatch(a.pattern)]
     whole = [a for a in allowed if not PART.fullmatch(a.pattern)]
     added: list[Span] = []
@@ -127,10 +147,15 @@ def find_spans(text: str, allowed: tuple[re.Pattern, ...], assign: bool = True,
         stretches = entropy_stretches(run, THRESHOLDS[char_class(run)])
         if not stretches or any(a.fullmatch(run) for a in whole):
             continue
-        cuts = [(a, b) for _, a, b in base if a < m.end() and at < b] + [(at + a, at + b) for a, b in _plain_words(run, inside)]
-        for a, b in stretches:
-            left = _remainders(at + a, at + b, sorted(cuts))
-            added += [("entropy", x, y) for x, y in left if not any(p.fullmatch(text, x, y) for p in inside)]
+        for a, b in _remainders(stretches, _plain_words(run, inside)):
+            known = lambda x, y: any(p.fullmatch(text, x, y) for p in inside)
+            if not known(at + a, at + b):
+                added.append(("entropy", at + a, at + b))
+                continue
+            # what is known may lie in a fixed span: the rest counts by itself
+            fixed = itertools.takewhile(lambda c: c[0] < at + b, itertools.islice(covered, bisect.bisect_right(ends, at + a), None))  # noqa: B023
+            cuts = list(fixed)
+            added += [("entropy", x, y) for x, y in _remainders([(at + a, at + b)], cuts) if cuts and not known(x, y)]
     return base, added
 
 
