@@ -2,15 +2,16 @@ r"""Chat formatting: records of several layouts become canonical turns, and turn
 
 A row's schema fingerprint is the hash of the sorted nested field paths, with types, that it fills (``messages[].role:string``).
 Each layout accepts a few fingerprints over its own paths, and the first layout that accepts selects the mapping, so columns
-that a layout doesn't name never matter.
+that a layout doesn't name never matter. Whole numbers of any width count as one type; a path of another type than a layout names
+(content that is a list of parts, a role that is a struct) makes that layout accept no row.
 
 Template: ``<|im_start|>role<|im_sep|>text<|im_end|>\n`` per turn. Inside roles and texts a backslash is doubled and one is put
 after the first character of every control string, so no control string of any kind is left there, and unescape() gives the
 same text back.
 
 Edge cases: null roles and texts are empty; turns order by turn (null first), role, text; repeated rows stay repeated turns; rows
-with a null key form one conversation; a record without turns gives an empty formatted text; rows that no layout accepts are
-kept with layout null and no turns; an empty table gives no rows. A conversation is one output value, so its turns meet in one
+with a null key form one conversation; a record without turns gives an empty formatted text; rows that no layout accepts,
+such as those with neither turn nor role nor text, are kept with layout null and no turns; an empty table gives no rows. A conversation is one output value, so its turns meet in one
 task; nothing else does.
 """
 
@@ -28,14 +29,14 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # Strings that common chat templates and tokenizers give a meaning.
 CONTROL = (START, SEP, END, "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
-#: name: paths that must be filled, paths that may be, and the turns: (role, text path), or an array with its role and text fields.
+#: name: paths that must be filled, paths that may be, paths of which one must be, and the turns: (role, text path), or an array with its role and text fields.
 LAYOUTS: dict[str, dict] = {
     "messages": {"must": ("messages[].content", "messages[].role"), "may": (), "array": ("messages", "role", "content")},
     "shares": {"must": ("conversations[].from", "conversations[].value"), "may": (), "array": ("conversations", "from", "value")},
     "instruction": {"must": ("instruction", "output"), "may": ("input", "system"), "turns": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))},
     "completion": {"must": ("prompt", "completion"), "may": ("system",), "turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))},
     "response": {"must": ("prompt", "response"), "may": ("system",), "turns": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
-    "rows": {"must": (), "may": ("role", "text", "turn"), "row": ("turn", "role", "text")},
+    "rows": {"must": (), "any": ("role", "text", "turn"), "may": ("role", "text", "turn"), "row": ("turn", "role", "text")},
 }
 #: Names that ShareGPT-like layouts use for roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
@@ -61,7 +62,7 @@ def field_paths(schema: T.StructType) -> Iterator[tuple[str, str, Column]]:
             for f in kind.elementType.fields:
                 yield f"{path}[].{f.name}", f.dataType.simpleString(), get.isNotNull()
         else:
-            yield path, kind.simpleString(), get.isNotNull()
+            yield path, "bigint" if isinstance(kind, T.IntegralType) else kind.simpleString(), get.isNotNull()
 
     for f in schema.fields:
         yield from walk(f.dataType, f.name, F.col(f"`{f.name}`"))
@@ -83,7 +84,8 @@ def schema_fingerprint(schema: T.StructType, among: tuple[str, ...] | None = Non
 def accepted(layout: dict) -> list[int]:
     """The fingerprints that select a layout."""
     kind = lambda p: f"{p}:{'bigint' if p == 'turn' else 'string'}"
-    return [fingerprint_of([kind(p) for p in (*layout["must"], *some)]) for n in range(len(layout["may"]) + 1) for some in itertools.combinations(layout["may"], n)]
+    filled = [(*layout["must"], *some) for n in range(len(layout["may"]) + 1) for some in itertools.combinations(layout["may"], n)]
+    return [fingerprint_of([kind(p) for p in paths]) for paths in filled if "any" not in layout or set(layout["any"]) & set(paths)]
 
 
 def _turns(layout: dict, schema: T.StructType) -> Column:
@@ -91,7 +93,7 @@ def _turns(layout: dict, schema: T.StructType) -> Column:
     kinds = {p: k for p, k, _ in field_paths(schema)}
 
     def get(path: str, kind: str = "string") -> Column:
-        return F.col(f"`{path}`") if kinds.get(path) == kind else F.lit(None).cast(kind)
+        return F.col(f"`{path}`").cast(kind) if kinds.get(path) == kind else F.lit(None).cast(kind)
 
     def turn(at: Column, role: Column, text: Column) -> Column:
         return F.struct(at.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
@@ -101,7 +103,7 @@ def _turns(layout: dict, schema: T.StructType) -> Column:
         return F.array(turn(get(at, "bigint"), get(role), get(text)))
     if "array" in layout:
         name, role, text = layout["array"]
-        if f"{name}[].{role}" not in kinds:
+        if not kinds.get(f"{name}[].{role}") == kinds.get(f"{name}[].{text}") == "string":
             return F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
         known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
         named = lambda m: F.coalesce(known[F.coalesce(m[role], F.lit(""))], m[role]) if name == "conversations" else m[role]

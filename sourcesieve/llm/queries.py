@@ -41,7 +41,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marked = "</s>[INST] ok [/INST]"
     own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(marked).alias("prompt"), F.lit(marked).alias("completion"))
-    records = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own, allowMissingColumns=True)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    records = rows.unionByName(own, allowMissingColumns=True)
     formatted = written(op.format_turns(op.canonical_turns(records, "conv_id"), "conv_id"), "chat")
     return op.turn_digests(formatted, "conv_id")
 

@@ -52,7 +52,7 @@ def test_fingerprints_depend_on_paths_alone(spark):
 def test_rows_by_turn_nulls_ties_and_repeats(spark):
     data = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, None, None, None), (None, 1, "user", "n"), (2, 1, "assistant", "x" * 200_000)]
     df = spark.createDataFrame(data, "id int, turn long, role string, text string")
-    assert turns(df) == {1: [("", "", False), ("user", "a", False), ("user", "a", False), ("assistant", "b", True)], None: [("user", "n", False)], 2: [("assistant", "x" * 200_000, True)]}
+    assert turns(df) == {1: [("user", "a", False), ("user", "a", False), ("assistant", "b", True)], None: [("user", "n", False)], 2: [("assistant", "x" * 200_000, True)]}
     assert turns(df.limit(0)) == {}
 
 
@@ -76,3 +76,25 @@ def test_mask_covers_assistant_texts(spark):
     assert (d.n_turns, d.loss_chars, d.formatted_chars) == (3, 9, len(row.formatted))
     assert d.loss_sha256 == hashlib.sha256("[INST]\\😀b".encode()).hexdigest()
     assert d.turns_sha256 == hashlib.sha256("user\né</s>\nassistant\n[INST]\\😀\nassistant\nb\n".encode()).hexdigest()
+
+
+def test_rows_without_any_known_field_are_no_turn(spark):
+    df = spark.createDataFrame([(1, None, None, None, "q"), (2, None, None, "t", None), (3, 7, None, None, None)], "id int, turn int, role string, text string, other string")
+    got = [(r.id, r.layout, r.turn, r.role, r.text) for r in chat.canonical_turns(df, "id").orderBy("id").collect()]
+    assert got == [(1, None, None, None, None), (2, "rows", None, "", "t"), (3, "rows", 7, "", "")]
+    assert turns(df)[1] == [] and turns(df)[2] == [("", "t", False)]
+
+
+def test_turns_of_any_whole_number(spark):
+    for kind in ("tinyint", "smallint", "int", "bigint"):
+        df = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", "a")], f"id int, turn {kind}, role string, text string")
+        assert turns(df) == {1: [("user", "a", False), ("assistant", "b", True)]}
+
+
+def test_paths_of_other_types_fit_no_layout(spark):
+    parts = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
+    df = spark.createDataFrame([(1, [("user", [("text", "hi")])], None), (2, None, "p")], f"id int, messages {parts}, prompt string")
+    got = {r.id: (r.layout, r.text) for r in chat.canonical_turns(df, "id").collect()}
+    assert got == {1: (None, None), 2: (None, None)}
+    df = spark.createDataFrame([(1, ("a",), "t")], "id int, role struct<name:string>, text string")
+    assert {r.layout for r in chat.canonical_turns(df, "id").collect()} == {"rows"}
