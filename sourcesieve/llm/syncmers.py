@@ -2,9 +2,10 @@ r"""Document fingerprints from closed syncmers, and their likeness by matching a
 
 A run of k units is an anchor if the smallest hash among its inner runs of s units stands first or last. That depends on the run
 alone, so an edit moves no anchor outside the units it touches. A fingerprint keeps the ANCHORS anchors of smallest hash, each
-with its place, in two sections: over words (runs without ASCII white space; k 3, s 1), and, for texts of up to SHORT code points,
-over characters (k 4, s 1, with empty units before), where words are too coarse. Likeness compares the finest section that both have: matches among the
-smallest hashes of the union, a match counting where its displacement agrees with the median displacement.
+with its place, in two sections: over words (runs without ASCII white space; k 3, s 1), and, for texts of fewer than FEW words,
+which have hardly as many anchors, over characters (k 4, s 1, with empty units before): so short texts have it, and long ones
+without white space. Likeness compares the finest section that both have: matches among the smallest hashes of the union, a match
+counting where its displacement agrees with the median displacement.
 
 Everything is DataFrame functions over whole texts: arrays of units, so work is linear in a text's length.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from sourcesieve.llm.shared import let, written
 
 ANCHORS = 48
-SHORT = 512
+FEW = 96
 WORDS, CHARS = (3, 1), (4, 1)
 
 
@@ -52,11 +53,14 @@ def _anchors(units: Column, k: int, s: int, keep: int) -> Column:
 
 
 def fingerprint(text: Column, keep: int = ANCHORS) -> Column:
-    """(words, chars): the anchors of both sections; chars is null for texts of over SHORT code points."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    """(words, chars): the anchors of both sections; chars is null for texts of FEW words and more."""
     pad = F.array_repeat(F.lit(""), CHARS[0] - 1)  # so that a text of any length has runs of k
     chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(pad, F.split(text, "")))
-    return F.struct(_anchors(words, *WORDS, keep).alias("words"), F.when(F.length(text) <= SHORT, _anchors(chars, *CHARS, keep)).alias("chars"))
+
+    def both(words: Column) -> Column:
+        return F.struct(_anchors(words, *WORDS, keep).alias("words"), F.when(F.size(words) < FEW, _anchors(chars, *CHARS, keep)).alias("chars"))
+
+    return let(F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), both)
 
 
 def as_string(print_: Column) -> Column:
@@ -104,7 +108,7 @@ def neighbours(keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     ranges = keys.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(key).withColumn("range", F.spark_partition_id())
     ranges = written(ranges, "key-ranges")
-    edges = ranges.groupBy("range").agg(F.max(key).alias("last"))  # one row per range
+    edges = ranges.groupBy("range").agg(F.max(key).alias("last"))  # one row per range: no more than shuffle partitions
     order = Window.orderBy("range")
     before = edges.select("range", F.coalesce(F.lag("last").over(order), F.last("last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("last"))
     own = F.lag(key).over(Window.partitionBy("range").orderBy(key))
@@ -118,10 +122,11 @@ def with_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Texts are dealt out by key once: both joins read that exchange, so their sides must want the same columns of it and no filter
     on it (a text key, never null, sees to that). What travels to a document from its neighbour is a third of a text at most.
     """
-    at = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_at")
+    named = F.concat(F.lit("="), F.col(key).cast("string"))  # a null key is no key, and not the empty one
+    at = F.coalesce(named, F.lit("")).alias("_at")
     docs = df.select(key, at, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pairs = neighbours(df, key).select(F.col(key).cast("string").alias("owner"), F.col("next_key").cast("string").alias("next_key"))
-    wants = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("owner"), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 3).cast("int").alias("want"))
+    pairs = neighbours(df, key).select(named.alias("owner"), F.concat(F.lit("="), F.col("next_key").cast("string")).alias("next_key"))
+    wants = df.filter(F.col(key).isNotNull()).select(named.alias("owner"), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 3).cast("int").alias("want"))
     wants = pairs.join(wants.groupBy("owner").agg(F.max("want").alias("want")), "owner")
     heads = docs.join(wants, F.col("_at") == F.col("next_key"))
     given = F.struct(F.substring("text", F.lit(1), F.col("want")).alias("head"), fingerprint(F.col("text")).alias("next_print"), key)

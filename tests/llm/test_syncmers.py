@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,50 @@ def test_no_python_on_executors(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = syncmers.report(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_null_key_is_not_the_empty_key(spark):
+    df = spark.createDataFrame([(None, "of null " * 5), ("", "of empty " * 5), ("b", "of b " * 5)], "doc_id string, text string")
+    got = {r.doc_id: r for r in syncmers.report(df).collect()}
+    of = {None: "of null " * 5, "": "of empty " * 5, "b": "of b " * 5}
+    edit = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest()
+    assert got["b"].edited_sha256 == edit(of["b"], of[""]) and got[""].edited_sha256 == edit(of[""], of["b"])
+    assert got[None].edited_sha256 == edit(of[None], "") and got[None].near_next == 0.0
+
+
+def test_long_texts_without_white_space_have_characters(spark):
+    rng = random.Random(3)
+    long = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))
+    other = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))
+    df = spark.createDataFrame([(2, long), (1, other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.report(df).collect()}
+    assert got[2].near_edited > 0.3 and got[2].near_next < 0.1
+
+
+def test_character_anchors_and_likeness_equal_a_plain_version(spark):
+    text = "abcab cabd éx"
+    units = ["", "", "", *text]
+    h = {r.u: r.h for r in spark.createDataFrame([(u,) for u in set(units)], "u string").select("u", F.xxhash64("u").alias("h")).collect()}
+    runs = [(i, [h[u] for u in units[i : i + 4]]) for i in range(len(units) - 3)]
+    places = [(i, *run) for i, run in runs if min(run) in (run[0], run[-1])]
+    hashed = spark.createDataFrame(places, "i long, a long, b long, c long, d long").select("i", F.xxhash64("a", "b", "c", "d").alias("x")).collect()
+    smallest: dict = {}
+    for r in sorted(hashed, key=lambda r: (r.x >> 32, r.i)):
+        smallest.setdefault(r.x >> 32, r.i)
+    assert list(prints(spark, [text])[text].chars) == [(k << 32) | i for k, i in sorted(smallest.items())[:ANCHORS]]
+
+    def plain(a, b):
+        a, b = ({x >> 32: x & (1 << 32) - 1 for x in side} for side in (a, b))
+        lowest = sorted({*a, *b})[:ANCHORS]
+        moved = sorted((a[k] - b[k], k) for k in a.keys() & b.keys() if k <= lowest[-1])
+        if not moved:
+            return 0.0
+        reach, middle = 16 + max(*a.values(), *b.values()) / 8, moved[len(moved) // 2][0]
+        return sum(abs(m - middle) <= reach for m, _ in moved) / len(lowest)
+
+    words = [f"w{i * 31 % 977}x" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[50:] + words[:50]), " ".join(words[:300] + ["n"] * 100), " ".join(reversed(words))]
+    p = prints(spark, texts)
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "l string, r string")
+    rows = df.select("l", "r", syncmers.likeness(syncmers.fingerprint(F.col("l")), syncmers.fingerprint(F.col("r"))).alias("x")).collect()
+    assert all(abs(r.x - plain(p[r.l].words, p[r.r].words)) < 1e-9 for r in rows)
