@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from sourcesieve.llm.pieces import PieceTable, blocks
 
 # The White_Space property, and the words of the pre-tokenizer.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NO_RANK = np.iinfo(np.int64).max
 

@@ -5,7 +5,8 @@ more if a hash of its key, as a number in [0, 1), lies below the rate's fraction
 target stops at cap times its source's size, and the excess is shared again by weight until none is above.
 
 Only (key, source, size) is shuffled, summed before the exchange, and the join back on a hot source is one that Spark can split.
-The table of sources has one row per source.
+The table of sources has one row per source, and its running sums are made in one task: it is meant for sources as people name them,
+thousands, not for one per web host.
 
 Edge cases: null texts have size 0; a null source is a source of its own, the last; a source without words has target 0 and its
 documents are taken as often as the rate 0 says, never; repeated rows share their key's draw; an empty table gives none.
@@ -54,7 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def with_copies(rows: DataFrame, per_source: DataFrame, key: str = "doc_id", seed: str = SEED, cap: int = CAP) -> DataFrame:
-    """rows with source_size, target and copies, the number of times that the mix takes a row."""
+    """rows with source_size, target and copies, the number of times that the mix takes a row; these replace columns of their names."""
+    rows = rows.drop("source_size", "target", "copies", "_rate", "_source")
     per = per_source.withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size").cast("double"), F.lit(float(cap)))).otherwise(0.0)
     found = rows.join(per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rate", rate)

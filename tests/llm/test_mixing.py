@@ -60,5 +60,11 @@ def test_mix_takes_what_rates_say(spark):
     assert abs(got["hot"] / want["hot"] - 1) < 0.15
 
 
+def test_columns_of_the_names_that_are_made(spark):
+    df = spark.createDataFrame([(1, "a", 5, "t", 1.0, 2, "r"), (2, "b", 5, "t", 1.0, 2, "r")], "doc_id long, source string, size long, target string, source_size double, copies int, _rate string")
+    got = mixing.with_copies(df, mixing.targets(df.select("source", "size"))).collect()
+    assert sorted((r.doc_id, r.source_size, r.target) for r in got) == [(1, 5, 50 / 7), (2, 5, 20 / 7)]
+
+
 def test_no_rows(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
