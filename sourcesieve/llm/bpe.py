@@ -14,7 +14,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sourcesieve.llm.pieces import PieceTable, blocks
+from sourcesieve.llm.pieces import PieceTable, blocks, one_table
 
 # The White_Space property, and the words of the pre-tokenizer.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,7 +41,7 @@ def byte_letters() -> list[str]:
 class WordBpe(PieceTable):
     """Encoder and decoder for a tokenizer file. No word, added token or normal form crosses white space, so pieces encode alone."""
 
-    def __init__(self, path: str, size: int = 300_000):
+    def __init__(self, path: str, size: int = 24_000_000):
         super().__init__(size)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -175,9 +174,8 @@ class WordBpe(PieceTable):
         return " ".join([t for i in (() if ids is None else ids) if 0 <= i < len(tokens) and (t := tokens[i])])
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+    return one_table(WordBpe, path)
 
 
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:

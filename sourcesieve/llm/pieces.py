@@ -6,7 +6,7 @@ of text, and a single longer text is a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -14,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 8_000_000
-#: Longer pieces aren't kept: a table of pieces is bounded in bytes, too.
+#: Longer pieces aren't kept.
 LONGEST = 256
+#: About what an entry of a table takes beside the bytes of its piece and of what is known of it.
+ENTRY = 160
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
@@ -59,20 +61,26 @@ def gather(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np
 
 
 class PieceTable:
-    """What is known of pieces of up to LONGEST bytes, in two generations of size entries at most: what the older one no longer gets
+    """What is known of pieces of up to LONGEST bytes, in two generations of about size bytes at most: what the older one no longer gets
     asked for goes."""
 
-    def __init__(self, size: int = 300_000):
+    def __init__(self, size: int = 24_000_000):
         self.size = size
+        self.held = 0
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _keep(self, word: bytes, x: bytes) -> None:
+        self.held += len(word) + len(x) + ENTRY
+        if self.held > self.size:
+            self.new, self.old = {}, self.new
+            self.held = len(word) + len(x) + ENTRY
+        self.new[word] = x
+
     def learn(self, missing: list[bytes]) -> list[bytes]:
         raise NotImplementedError
 
     def lookup(self, wanted: list[bytes]) -> list[bytes]:
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
         found = list(map(self.new.get, wanted))
         absent = [i for i, x in enumerate(found) if x is None]
         missing = []
@@ -81,14 +89,14 @@ class PieceTable:
             if x is None:
                 missing.append(i)
             else:
-                self.new[wanted[i]] = x
+                self._keep(wanted[i], x)
         for j in range(0, len(missing), 20_000):
             part = missing[j : j + 20_000]
             words = [wanted[i] for i in part]
             for i, word, x in zip(part, words, self.learn(words), strict=True):
                 found[i] = x
                 if len(word) <= LONGEST:
-                    self.new[word] = x
+                    self._keep(word, x)
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,3 +106,16 @@ class PieceTable:
         lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
         ids, ends = gather(codes, lengths, np.frombuffer(b"".join(data), dtype="<i4"))
         return np.r_[0, ends][edges], ids
+
+
+_HELD: dict[tuple, PieceTable] = {}
+
+
+def one_table[Table: PieceTable](make: Callable[..., Table], *given: str) -> Table:
+    """make(*given), kept for the next task of this worker. Workers outlive stages, so a table of another kind goes."""
+    key = (make, *given)
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make(*given)
+    return _HELD[key]

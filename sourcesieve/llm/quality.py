@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcesieve.llm.pieces import PieceTable, blocks, gather, raw, split
+from sourcesieve.llm.pieces import PieceTable, blocks, gather, one_table, raw, split
 from sourcesieve.llm.shared import written
 
 BUCKETS, DIM = 1 << 16, 8  # as many buckets again for word bigrams
@@ -49,21 +49,60 @@ class Grams(PieceTable):
     two; then the bucket of the piece, and those of its n-grams."""
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
-        out = []
-        for piece in missing:
-            text = f"<{piece.decode()}>"
-            data = text.encode()
-            at = range(len(data) + 1) if len(data) == len(text) else [0, *itertools.accumulate(len(c.encode()) for c in text)]
-            n = len(text)
-            cut = lambda i, j: zlib.crc32(data[at[i] : at[j]])  # noqa: E731, B023
-            heads = [zlib.crc32(piece), cut(1, 2), cut(n - 2, n - 1), cut(1, min(3, n - 1)), cut(max(1, n - 3), n - 1)]
-            # of a long run without white space, every n-gram counts, too
-            grams = np.array([heads[0], *[cut(i, i + k) for k in NGRAMS for i in range(n - k + 1)]], dtype=np.uint32) % BUCKETS
-            out.append(np.r_[np.array(heads, dtype=np.uint32), grams].astype("<u4").tobytes())
-        return out
+        size = np.cumsum(np.fromiter(map(len, missing), dtype=np.int64, count=len(missing)))
+        cuts = np.flatnonzero(np.diff(size // GRAMS_BYTES)) + 1
+        return [x for a, b in itertools.pairwise([0, *cuts.tolist(), len(missing)]) if a < b for x in self._grams(missing[a:b])]
+
+    def _grams(self, pieces: list[bytes]) -> Iterator[bytes]:
+        flat = np.frombuffer(b"<" + b"><".join(pieces) + b">", dtype=np.uint8)
+        begins = np.flatnonzero((flat & 0xC0) != 0x80)  # of characters
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 2
+        first = np.searchsorted(begins, np.cumsum(sizes) - sizes)
+        n = np.diff(np.r_[first, len(begins)])
+        own = np.repeat(np.arange(len(pieces)), n)
+        inside = np.arange(len(begins)) - first[own]
+        begins = np.r_[begins, len(flat)]
+        lengths = HEADS + 1 + sum(n - k + 1 for k in NGRAMS)  # a marked piece has three characters or more
+        place = np.cumsum(lengths) - lengths
+        edges = [*(place * 4).tolist(), int(lengths.sum()) * 4]
+        out = np.empty(lengths.sum(), dtype="<u4")
+        whole = np.fromiter(map(zlib.crc32, pieces), dtype=np.uint32, count=len(pieces))
+        out[place] = whole
+        for head, (i, j) in enumerate([(1, 2), (n - 2, n - 1), (1, np.minimum(3, n - 1)), (np.maximum(1, n - 3), n - 1)], 1):
+            out[place + head] = crc32_of(flat, begins[first + i], begins[first + j])
+        out[place + HEADS] = whole % BUCKETS
+        place = place + HEADS + 1
+        for k in NGRAMS:  # of a long run without white space, every n-gram counts, too
+            at = np.flatnonzero(inside <= n[own] - k)
+            out[place[own[at]] + inside[at]] = crc32_of(flat, begins[at], begins[at + k]) % BUCKETS
+            place = place + n - k + 1
+        data = out.tobytes()
+        return (data[a:b] for a, b in itertools.pairwise(edges))
 
 
 HEADS = 5
+GRAMS_BYTES = 1_000_000
+
+
+def crc32_steps() -> np.ndarray:
+    """What each byte does to the state of CRC-32 (polynomial 0xEDB88320)."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> 1 ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+STEPS = crc32_steps()
+
+
+def crc32_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CRC-32 of each of the short runs of bytes from starts to ends."""
+    state = np.full(len(starts), 0xFFFFFFFF, dtype=np.uint32)
+    sizes = ends - starts
+    for step in range(int(sizes.max(initial=0))):
+        on = slice(None) if step < sizes.min() else np.flatnonzero(sizes > step)
+        state[on] = STEPS[(state[on] ^ data[starts[on] + step]) & 0xFF] ^ state[on] >> np.uint32(8)
+    return state ^ np.uint32(0xFFFFFFFF)
 
 
 @dataclass
@@ -223,9 +262,6 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return train(*sample(docs, labels, key, text, label))
 
 
-_TABLES: dict[str, Grams] = {}
-
-
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score: how likely label 1 is, 0 to 1; replaces a column of that name."""
     rest = docs.drop(out)
@@ -233,7 +269,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES.setdefault("grams", Grams(100_000))
+        table = one_table(Grams)
         for batch in blocks(batches, at):
             score = scores(shared.value, batch.column(at), table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])

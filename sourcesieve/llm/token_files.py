@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sourcesieve.llm.pieces import PieceTable, blocks
+from sourcesieve.llm.pieces import PieceTable, blocks, one_table
 
 #: For the writer: row groups of 32 MB, pages of 256 kB or 2,000 rows; ids stay dictionary-coded up to 4 MB of distinct ids.
 LAYOUT = {
@@ -38,7 +37,7 @@ class LibraryPieces(PieceTable):
     """Ids of pieces as the tokenizers library gives them. Many pieces make one call, kept apart by an added token, at which the
     library itself cuts a text before anything else; a piece that holds such a token is encoded alone."""
 
-    def __init__(self, path: str, size: int = 300_000):
+    def __init__(self, path: str, size: int = 48_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,9 +65,8 @@ class LibraryPieces(PieceTable):
         return known
 
 
-@lru_cache(maxsize=2)
 def library(path: str) -> LibraryPieces:
-    return LibraryPieces(path)
+    return one_table(LibraryPieces, path)
 
 
 def write_tokens(df: DataFrame, to: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
