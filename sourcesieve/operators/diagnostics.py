@@ -31,25 +31,26 @@ def _rule_match(rule: RulePlan, program: Program) -> Column:
     return F.when(is_kind & relation_column(rule) & check_column(rule.check, program.paths), entry)
 
 
-def diagnostics_of(rows: DataFrame, program: Program) -> DataFrame:
-    """One row per diagnostic, duplicates kept; no shuffle."""
+def diagnostics_of(rows: DataFrame, program: Program, *more: str) -> DataFrame:
+    """One row per diagnostic, duplicates kept, with more columns of the stage; no shuffle."""
     root = program.node_names[program.root] if program.root >= 0 else ""
     failures = [
         F.when(F.col("rec") == "scan", _entry(SCAN, F.lit(0), F.lit(0), -1, "", "err", F.concat(F.lit("No token matched at byte offset "), F.col("start").cast("string"), F.lit(".")))),
         F.when(F.col("rec") == "parse", _entry(PARSE, F.lit(0), F.lit(0), -1, "", "err", F.lit(f'Source text does not match syntax root "{root}".'))),
     ]
     matches = F.array_compact(F.array(*failures, *[_rule_match(r, program) for r in program.rules]))
-    found = rows.select("path", "start", "end", F.explode(matches).alias("m"))
-    return found.select("path", "m.phase", "m.clock", "m.sub", "m.rule_idx", "m.rule", "m.severity", "m.message", "start", "end")
+    found = rows.select("path", "start", "end", *more, F.explode(matches).alias("m"))
+    return found.select("path", "m.phase", "m.clock", "m.sub", "m.rule_idx", "m.rule", "m.severity", "m.message", "start", "end", *more)
 
 
 def first_only(diagnostics: DataFrame) -> DataFrame:
     """The first diagnostic of each source, a failure to scan or parse included.
 
-    Reduced before the exchange; diagnostics of one source meet only as their first.
+    diagnostics: with source, which tells equal paths apart. Reduced before the exchange; diagnostics of one source meet only as
+    their first.
     """
     packed = F.struct(*ORDER, "rule", "severity", "message", "start", "end")
-    first = diagnostics.groupBy("path").agg(F.min(packed).alias("m"))
+    first = diagnostics.groupBy("path", "source").agg(F.min(packed).alias("m"))
     return first.select("path", "m.phase", "m.clock", "m.sub", "m.rule_idx", "m.rule", "m.severity", "m.message", "m.start", "m.end")
 
 
@@ -75,7 +76,7 @@ def exit_status(diagnostics: DataFrame) -> int:
 
 
 def tree_text(nodes: DataFrame) -> DataFrame:
-    """(path, tree): each source's tree, a line per node; rows of a source meet, as they become one text."""
+    """(path, tree): each source's tree, a line per node; rows of a source meet, as they become one text. nodes: with source."""
     label = F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.coalesce(F.concat("field", F.lit(": ")), F.lit("")), F.lit("Node "), "kind_name", F.lit(" ["), F.col("first_tok").cast("string"), F.lit(":"), (F.col("first_tok") + F.col("n_tok")).cast("string"), F.lit("]"))
-    lines = nodes.select("path", F.struct(F.col("enter").alias("at"), label.alias("line")).alias("x")).groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    lines = nodes.select("path", "source", F.struct(F.col("enter").alias("at"), label.alias("line")).alias("x")).groupBy("path", "source").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return lines.select("path", F.concat(F.lit("Tree\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("tree"))

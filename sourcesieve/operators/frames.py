@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +33,11 @@ SCHEMA = T.StructType(
             ("path", S), ("rec", S), ("idx", I), ("kind", I), ("start", L), ("end", L), ("text", B),
             ("parent_id", I), ("parent_kind", I), ("ordinal", I), ("field", S), ("ancestor_kinds", T.ArrayType(I)),
             ("first_tok", I), ("n_tok", I), ("enter", L), ("exit", L), ("parent_exit", L), ("depth", I),
-            ("path_texts", T.ArrayType(B)), ("left_kind", I), ("left_text", B), ("left_path_texts", T.ArrayType(B)), ("gap", B), ("gap_blank_lines", L),
+            ("path_texts", T.ArrayType(B)), ("left_kind", I), ("left_text", B), ("left_path_texts", T.ArrayType(B)), ("gap", B), ("gap_blank_lines", L), ("source", L),
         )
     ]
 )
-ARROW = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64()]
+ARROW = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64()]
 ROWS = 20_000
 
 
@@ -164,18 +165,23 @@ def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        of: list[int] = []  # the source of each row: equal paths are told apart by it
+        source = TaskContext.get().partitionId() << 33
 
         def batch_of() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
+            columns = [*zip(*rows, strict=True), of]
             return pa.RecordBatch.from_arrays([pa.nulls(len(rows), k) if x[0] is x[-1] is None and not any(map(_some, x)) else pa.array(x, k) for x, k in zip(columns, ARROW, strict=True)], names=SCHEMA.names)
 
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                source += 1
                 for row in source_rows(path, content.as_py() or b"", program, wanted):
                     rows.append(row)
+                    of.append(source)
                     if len(rows) >= ROWS:
                         yield batch_of()
                         rows.clear()
+                        of.clear()
         if rows:
             yield batch_of()
 
@@ -213,11 +219,11 @@ def token_lists(sources: DataFrame, program: Program) -> DataFrame:
     return sources.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, tokens array<struct<name:string,start:bigint,end:bigint>>")
 
 
-def nodes_frame(sources: DataFrame, program: Program, texts: bool = False) -> DataFrame:
-    """nodes(path, node_id, kind, kind_name, parent_id, ...)"""
+def nodes_frame(sources: DataFrame, program: Program, texts: bool = False, *more: str) -> DataFrame:
+    """nodes(path, node_id, kind, kind_name, parent_id, ...), and more columns of the stage"""
     rows = scan_and_parse(sources, program, Wanted(nodes=None, node_texts=None if texts else frozenset(), errors=False))
     names = F.array(*[F.lit(n) for n in program.node_names])
-    return rows.select("path", F.col("idx").alias("node_id"), "kind", F.get(names, F.col("kind")).alias("kind_name"), "parent_id", "parent_kind", "ordinal", "field", "ancestor_kinds", "first_tok", "n_tok", "start", "end", "enter", "exit", "depth", "text")
+    return rows.select("path", F.col("idx").alias("node_id"), "kind", F.get(names, F.col("kind")).alias("kind_name"), "parent_id", "parent_kind", "ordinal", "field", "ancestor_kinds", "first_tok", "n_tok", "start", "end", "enter", "exit", "depth", "text", *more)
 
 
 def errors_frame(sources: DataFrame, program: Program) -> DataFrame:

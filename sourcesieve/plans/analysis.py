@@ -32,10 +32,8 @@ class Analysis:
 
     def diagnostics(self, sources: DataFrame, first: bool = False, ordered: bool = False) -> DataFrame:
         rows = scan_and_parse(self.in_scope(sources), self.program, Wanted.by_rules(self.program))
-        found = D.diagnostics_of(rows, self.program)
-        if first:
-            found = D.first_only(found)
+        found = D.first_only(D.diagnostics_of(rows, self.program, "source")) if first else D.diagnostics_of(rows, self.program)
         return D.in_order(found) if ordered else found
 
     def trees(self, sources: DataFrame) -> DataFrame:
-        return D.tree_text(self.nodes(sources))
+        return D.tree_text(nodes_frame(self.in_scope(sources), self.program, False, "source"))

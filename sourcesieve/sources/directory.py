@@ -10,7 +10,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -86,10 +86,15 @@ def directory(spark: SparkSession, root: str, scope: Scope | None = None) -> Dat
     return spark.read.format(DirectorySource.name()).option("path", os.path.abspath(root)).option("scope", json.dumps([scope.includes, scope.excludes])).load()
 
 
+def below(root: str, path: Column) -> Column:
+    """Paths of Spark's file source as paths below root. It gives names as they are, not encoded."""
+    folder = "/" + root.split("://")[1].partition("/")[2] if "://" in root else os.path.abspath(root.removeprefix("file:"))
+    base = "/" + folder.strip("/") + "/" if folder.strip("/") else "/"
+    return F.element_at(F.split(path, F.lit(rf"\A(?:[^/:]+:)?(?://[^/]*(?=/))?\Q{base}\E"), 2), -1)
+
+
 def files(spark: SparkSession, root: str, scope: Scope | None = None) -> DataFrame:
     """sources(path, content) from any store, by Spark's own file source; it leaves out names that begin with ``_`` or ``.``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit("/" + root.split("://")[-1].partition("/")[2].strip("/") + "/") if "://" in root else F.lit(os.path.abspath(root) + "/")
-    path = F.element_at(F.split(F.col("path"), F.concat(F.lit(r"\Q"), base, F.lit(r"\E")), 2), -1)
-    rows = found.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), "content")
+    rows = found.select(below(root, F.col("path")).alias("path"), "content")
     return rows.filter(scope.condition(rows["path"])) if scope else rows

@@ -75,6 +75,13 @@ def test_empty_sources_nulls_and_repeats(spark):
     assert run(spark, []) == []
 
 
+def test_equal_paths_are_separate_sources(spark):
+    assert run(spark, [("a", "x = !")] * 2, first=True) == [("a", "warn", "x", 0, 1)] * 2
+    df = spark.createDataFrame([("a", b"a = 1;"), ("a", b"{b = 2;}"), ("a", b"a = 1;")], "path string, content binary")
+    one = {c: Analysis(DOC).trees(df.filter(F.col("content") == c.encode()).limit(1)).collect()[0].tree for c in ("a = 1;", "{b = 2;}")}
+    assert sorted(r.tree for r in Analysis(DOC).trees(df).collect()) == sorted([one["a = 1;"], one["{b = 2;}"], one["a = 1;"]])
+
+
 def test_partitions_don_t_matter(spark):
     sources = [(f"d{i % 7}/f{i}", f"a{i} = {i};\n" * (i % 5) + "{x = ;}") for i in range(60)]
     df = spark.createDataFrame([(p, c.encode()) for p, c in sources], "path string, content binary")

@@ -71,6 +71,20 @@ def test_sources(spark, tmp_path):
     assert directory(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_sources_agree_on_names_and_scope(spark, tmp_path):
+    names = ("src/a b.txt", "src/a%20b.txt", "src/100%.txt", "src/c+d.txt", "src/out/e.txt", "other.txt")
+    _, root = tree(tmp_path, {n: b"x" for n in names})
+    scope = Scope(("src/*.txt",), ("src/out/**",))
+    want = sorted(names[:4])
+    assert sorted(r.path for r in directory(spark, root, scope).collect()) == want
+    for at in (root, root + "/", "file://" + root):
+        assert sorted(r.path for r in files(spark, at, scope).collect()) == want
+    stream = stream_directory(spark, root)
+    query = stream.filter(scope.condition(stream["path"])).writeStream.format("memory").queryName("named").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.path for r in spark.table("named").collect()) == want
+
+
 def test_stream_and_table_function(spark, tmp_path):
     _, root = tree(tmp_path, {"a/z.txt": b"bad a", "b.txt": b"x bad"})
     analysis = Analysis(DOC)
