@@ -29,6 +29,8 @@ from sourcesieve.llm.pieces import PieceTable, blocks, one_table
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NO_RANK = np.iinfo(np.int64).max
+#: Bytes of text at a time.
+BLOCK = 4_000_000
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +43,7 @@ def byte_letters() -> list[str]:
 class WordBpe(PieceTable):
     """Encoder and decoder for a tokenizer file. No word, added token or normal form crosses white space, so pieces encode alone."""
 
-    def __init__(self, path: str, size: int = 24_000_000):
+    def __init__(self, path: str, size: int = 12_000_000):
         super().__init__(size)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -185,7 +187,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in blocks(batches, at):
+        for batch in blocks(batches, at, BLOCK):
             edges, ids = bpe.ids(batch.column(at))
             column = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
@@ -212,7 +214,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in blocks(batches):
+        for batch in blocks(batches, most=BLOCK):
             edges, ids = bpe.ids(batch.column(1))
             sums = [pa.array([hashlib.sha256(x).hexdigest() for x in bpe.joined(edges, ids, names)], pa.string()) for names in (bpe.decimal_array, bpe.token_array)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), *sums], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])

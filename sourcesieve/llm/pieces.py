@@ -20,13 +20,13 @@ LONGEST = 256
 ENTRY = 160
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about BLOCK bytes of the column at position text."""
+def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about most bytes of the column at position text."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK)))
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most)))
             yield batch.slice(start, stop - start)
             start = stop
 
