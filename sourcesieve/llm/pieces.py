@@ -2,6 +2,9 @@
 
 Splitting and telling apart run in Arrow; Python sees each distinct piece of a block once. A block holds about BLOCK bytes
 of text, and a single longer text is a block of its own.
+
+Tables of ids are for vocabularies that lower texts and cut them between letters or digits and ASCII marks: there pieces that
+differ in ASCII case or in the marks after them share what is known.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ BLOCK = 8_000_000
 LONGEST = 256
 #: About what an entry of a table takes beside the bytes of its piece and of what is known of it.
 ENTRY = 160
+#: What may be cut off a piece's end. An apostrophe may begin a suffix, and added tokens begin with "<".
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'<")
+ALNUM = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -60,6 +66,34 @@ def gather(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - (ends - own), own)], ends
 
 
+def units(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Pieces as runs of units: the code of each unit, how many units each piece has, and the distinct units.
+
+    Marks at the end of a piece become a unit of their own after an ASCII letter or digit, or a letter from U+00C0 to U+00FF;
+    ASCII units are lowered. Pieces with "<" stay as they are.
+    """
+    n = len(distinct)
+    if not n:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), distinct
+    _, offsets, data = distinct.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[distinct.offset : distinct.offset + n + 1]
+    held = np.r_[np.zeros(2, dtype=np.uint8), np.frombuffer(data, dtype=np.uint8)] if data is not None else np.zeros(2, dtype=np.uint8)
+    size = pc.binary_length(pc.ascii_rtrim(distinct, characters=MARKS)).to_numpy()
+    cut = edges[:-1] + size
+    last, before = held[cut + 1], held[cut]
+    letter = ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))  # neither the sign of times nor of division
+    two = (size > 0) & (cut < edges[1:]) & letter & ~pc.match_substring(distinct, "<").to_numpy(zero_copy_only=False)
+    counts = 1 + two.astype(np.int64)
+    at = np.r_[0, np.cumsum(counts)]
+    bounds = np.empty(at[-1] + 1, dtype=np.int32)
+    bounds[at] = edges
+    bounds[at[1:][two] - 1] = cut[two]
+    parts = pa.StringArray.from_buffers(int(at[-1]), pa.py_buffer(bounds), data)
+    lowered = pc.and_not(pc.string_is_ascii(parts), pc.match_substring(parts, "<"))
+    flat = pc.if_else(lowered, pc.ascii_lower(parts), parts).dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False), counts, flat.dictionary
+
+
 class PieceTable:
     """What is known of pieces of up to LONGEST bytes, in two generations of about size bytes at most: what the older one no longer gets
     asked for goes."""
@@ -102,9 +136,11 @@ class PieceTable:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (one more at the end), and all ids as 32-bit integers."""
         edges, codes, distinct = split(texts)
-        data = self.lookup(raw(distinct))
+        unit_codes, counts, known = units(distinct)
+        data = self.lookup(raw(known))
         lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
-        ids, ends = gather(codes, lengths, np.frombuffer(b"".join(data), dtype="<i4"))
+        by_piece, unit_ends = gather(unit_codes, lengths, np.frombuffer(b"".join(data), dtype="<i4"))
+        ids, ends = gather(codes, np.diff(np.r_[0, unit_ends[np.cumsum(counts) - 1]]), by_piece)
         return np.r_[0, ends][edges], ids
 
 

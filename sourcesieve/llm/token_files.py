@@ -13,8 +13,10 @@ the order of a hash of their text; an empty table gives an empty file set; colum
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,14 @@ LAYOUT = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(4 << 20), "compression": "zstd",
 }
+#: Words of ASCII letters and letters from U+00C0 to U+00FF, in UTF-8.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class LibraryPieces(PieceTable):
-    """Ids of pieces as the tokenizers library gives them. Many pieces make one call, kept apart by an added token, at which the
-    library itself cuts a text before anything else; a piece that holds such a token is encoded alone."""
+    """Ids of pieces as the tokenizers library gives them. Many pieces make one call. Words of letters alone are kept apart by
+    spaces, as only a word's last id is one that ends words; others by an added token, at which the library itself cuts a text
+    before anything else; a piece that holds such a token is encoded alone."""
 
     def __init__(self, path: str, size: int = 48_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,8 +51,29 @@ class LibraryPieces(PieceTable):
         self.library.no_truncation()
         self.library.no_padding()
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        vocab = self.library.get_vocab()
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+    def words(self, some: list[bytes]) -> list[bytes] | None:
+        """The ids of words of letters; None if the library doesn't end each with an id that ends words."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<i4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(some):
+            return None
+        data = ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *(ends * 4).tolist()])]
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
+        easy = [i for i, x in enumerate(missing) if LETTERS.fullmatch(x)]
+        if easy and (found := self.words([missing[i] for i in easy])) is not None:
+            rest = sorted({*range(len(missing))} - {*easy})
+            known = dict(zip(easy, found, strict=True)) | (dict(zip(rest, self.others([missing[i] for i in rest]), strict=True)) if rest else {})
+            return [known[i] for i in range(len(missing))]
+        return self.others(missing)
+
+    def others(self, missing: list[bytes]) -> list[bytes]:
         def encode(text: bytes) -> np.ndarray:
             return np.array(self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<i4")
 

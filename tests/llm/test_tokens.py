@@ -29,6 +29,11 @@ def own(vocabulary):
     return WordBpe(vocabulary)
 
 
+@pytest.fixture(scope="module")
+def pieces(vocabulary):
+    return LibraryPieces(vocabulary)
+
+
 def ids(library, text):
     return library.encode(text, add_special_tokens=False).ids
 
@@ -49,6 +54,29 @@ def test_any_texts(library, own, texts):
     assert [x.tolist() for x in own.encode(texts)] == [ids(library, t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aZsT09éÉß×÷ÿĀΣİǰJK.,!'<>|=&_ \u0301\u0338\u030c\u00a0\x1c"), max_size=14), st.sampled_from(["Word.", "word", "l'a,,", "<|endoftext|>.", "É!", "×!", "x'd.", "…."])), max_size=6))
+def test_marks_and_case_share_what_is_known(library, own, pieces, texts):
+    """Both tables, which live through all examples: units learnt from one piece serve another."""
+    import pyarrow as pa
+
+    want = [ids(library, t or "") for t in texts]
+    for table in (own, pieces):
+        edges, found = table.ids(pa.array(texts, pa.string()))
+        assert [found[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+
+
+def test_units():
+    import pyarrow as pa
+
+    from sourcesieve.llm.pieces import units
+
+    codes, counts, known = units(pa.array(["Ab.", "ab", "é,,", "÷,,", "...", "a'.", "A<.", "x", "…!"]).slice(0, 9))
+    assert counts.tolist() == [2, 1, 2, 1, 1, 1, 1, 1, 1]
+    assert known.take(pa.array(codes)).to_pylist() == ["ab", ".", "ab", "é", ",,", "÷,,", "...", "a'.", "A<.", "x", "…!"]
+    assert [len(x) for x in units(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_small_cache_gives_the_same(library, vocabulary):
     tiny = WordBpe(vocabulary, size=2)
     for _ in range(3):
