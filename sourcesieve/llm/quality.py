@@ -19,6 +19,7 @@ millionth; keys that repeat are each scored; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import mmap
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,6 +83,8 @@ class Grams(PieceTable):
 
 HEADS = 5
 GRAMS_BYTES = 1_000_000
+#: Bytes of the driver's table of pieces.
+TRAIN_TABLE = 4_000_000
 
 
 def crc32_steps() -> np.ndarray:
@@ -198,6 +201,24 @@ def bags_of(texts: pa.Array, table: Grams) -> Iterator[tuple[np.ndarray, np.ndar
         yield bag.astype(np.int32), np.bincount(place, weight, minlength=len(bag)).astype(np.float32)
 
 
+def apart(x: np.ndarray) -> np.ndarray:
+    """A copy in pages of its own, which go back to the system with it; what many small arrays took stays with the process."""
+    out = np.frombuffer(mmap.mmap(-1, max(x.nbytes, 1)), dtype=x.dtype, count=len(x))
+    out[:] = x
+    return out
+
+
+def held_bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags of all texts, as views of a few large arrays."""
+    table, bags = Grams(TRAIN_TABLE), []
+    for i in range(0, len(texts), 200):
+        some = list(bags_of(pa.array(texts[i : i + 200], pa.string()), table))
+        ends = np.cumsum([len(bag) for bag, _ in some])[:-1]
+        both = (apart(np.concatenate(x)) for x in zip(*some, strict=True))
+        bags += zip(*(np.split(x, ends) for x in both), strict=True)
+    return bags
+
+
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Gradient steps on batches of documents in a seeded order; each class weighs the same."""
     share = float(labels.mean()) if len(labels) else 1.0
@@ -208,8 +229,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     model = Model(vectors, output, share)
     if not 0 < share < 1:
         return Model(vectors * 0, output, share)
-    table = Grams()
-    bags = [bag for i in range(0, len(texts), 200) for bag in bags_of(pa.array(texts[i : i + 200], pa.string()), table)]  # once for all epochs
+    bags = held_bags(texts)  # once for all epochs
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     seen, seen_out = np.full(len(vectors), 1e-12, dtype=np.float32), np.full(DIM + 1, 1e-12)  # squared gradients so far: steps shrink by their root
     for _ in range(EPOCHS):
@@ -248,18 +268,23 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = written(texts.join(F.broadcast(some), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")), "sample")
     sizes = found.select("_key", F.octet_length("_text").alias("_size"), F.row_number().over(Window.orderBy(*order)).alias("_place"))
-    left, taken = SAMPLE_BYTES, [-1]
+    left, taken, passed_over = SAMPLE_BYTES, [-1], False
     for size, place in sizes.select("_size", "_place").orderBy("_place").collect():
         if size <= left:
             left -= size
             taken.append(place)
-    wanted = F.broadcast(sizes.filter(F.col("_place").isin(taken)).select("_key"))
-    rows = sorted(tuple(r) for r in found.join(wanted, "_key", "left_semi").select("_key", "_text", "_label").collect())
+        else:
+            passed_over = True
+    if passed_over:
+        found = found.join(F.broadcast(sizes.filter(F.col("_place").isin(taken)).select("_key")), "_key", "left_semi")
+    rows = sorted(tuple(r) for r in found.select("_key", "_text", "_label").collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.float64)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    return train(*sample(docs, labels, key, text, label))
+    model = train(*sample(docs, labels, key, text, label))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
