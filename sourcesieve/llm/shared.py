@@ -1,52 +1,17 @@
-"""Where intermediate tables live, and small helpers that several operators use."""
+"""Small helpers that several operators use; where intermediate tables live is ``sourcesieve.operators.intermediate``."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourcesieve.operators.intermediate import discard, shared_dir, written  # noqa: F401  other operators import them from here
 
 #: Values that more than one in HOT of all rows have are fewer than HOT.
 HOT = 1024
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where the setting is unset and the master is this machine alone, as in tests, the path is in a temporary folder of the
-    application; any other master needs the setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir is unset, and executors of {master} do not share a local folder")
-        app = spark.conf.get("spark.app.id")
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="sieve-")
-        base = _LOCAL[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
-    """The rows of df, written as Parquet in the shared folder (or at path) and read again: cuts lineage, survives lost executors."""
-    path = path or shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a written table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
 
 def free(taken: list[str], name: str) -> str:
     """name, or name with underscores after it: one that no column has, whatever its case."""

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sourcesieve.functions.conditions import check_column, relation_column
+from sourcesieve.operators.intermediate import discard, shared_dir, written
 from sourcesieve.plans.program import Program, RulePlan
 
 COLUMNS = ("path", "phase", "clock", "sub", "rule_idx", "rule", "severity", "message", "start", "end")
@@ -59,6 +61,25 @@ def in_order(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.orderBy(F.split("path", "/", -1), *ORDER)
 
 
+def numbered(diagnostics: DataFrame) -> DataFrame:
+    """With place, which counts from 1 in the order of in_order(); diagnostics of equal places in it follow each other anyhow.
+
+    Sources are scanned once, when this is called: diagnostics are written (spark.checkpoint.dir), and what is read back is dealt
+    out by ranges of the order and written again, each with its range and its place there. Ranges are drawn anew by each reading,
+    so what is numbered must be one reading's. Only a table with one row per range meets in one task.
+    """
+    spark = diagnostics.sparkSession
+    once, ranged = shared_dir(spark, "diagnostics"), shared_dir(spark, "ranges")
+    order = [F.split("path", "/", -1), *ORDER]
+    found = written(diagnostics, "diagnostics", once).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, the row inside it in the lower 33
+    rows = written(found.withColumn("at", at).select("*", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("own")).drop("at"), "ranges", ranged)
+    discard(spark, once)
+    totals = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = totals.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(before), "range").withColumn("place", F.col("base") + F.col("own") + 1).drop("range", "own", "base")
+
+
 def rendered(diagnostics: DataFrame) -> DataFrame:
     """value: path:start-end: severity: message"""
     return diagnostics.withColumn("value", F.concat("path", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(": "), "severity", F.lit(": "), "message"))

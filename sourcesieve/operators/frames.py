@@ -3,7 +3,8 @@
 A row says by ``rec`` what it is: token, node, scan (no token matched) or parse (the root didn't match). The stage gets told
 which token and node kinds are wanted and whose text, so what no rule looks at never leaves the task. A node's row holds what
 rules ask of its relatives, too: kinds of its ancestors, the sibling before it, the gap between, and texts at the ends of field
-paths. So rules need no join and no shuffle. A source is the unit of work and is never split.
+paths. So rules need no join and no shuffle. A source is the unit of work and is never split. For rules the stage gives only
+rows that some rule holds for (``operators.held``); which rules these are is left to the columns.
 
 Edge cases: a null content is empty; an empty source has no tokens, and its root must match nothing; equal paths are separate
 sources with equal paths; an empty table gives no rows.
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourcesieve.operators.automaton import Scanner
-from sourcesieve.operators.trees import Node, TreeParser, first_field
+from sourcesieve.operators.held import Held, Tokens
+from sourcesieve.operators.trees import Node, PatternParser, Run, TreeParser, first_field
 from sourcesieve.plans.program import Program
 
 B, I, L, S = T.BinaryType(), T.IntegerType(), T.LongType(), T.StringType()
@@ -51,6 +54,7 @@ class Wanted:
     node_texts: frozenset[int] | None = frozenset()
     gaps: bool = False
     errors: bool = True
+    held: bool = False  # only what some rule holds for
 
     @staticmethod
     def by_rules(program: Program) -> Wanted:
@@ -63,57 +67,51 @@ class Wanted:
             frozenset(r.target for r in node_rules),
             frozenset(texts),
             any(v.subject == "gap" for r in node_rules for v in r.values()),
+            held=True,
         )
 
 
-def _in(kind: int, some: frozenset[int] | None) -> bool:
-    return some is None or kind in some
-
-
 @lru_cache(maxsize=4)
-def _tools(program: Program) -> tuple[Scanner, TreeParser]:
-    return program.scanner, program.tree_parser()
+def _tools(program: Program) -> tuple[Scanner, PatternParser | TreeParser, Held]:
+    return program.scanner, program.tree_parser(), Held(program)
 
 
-def source_rows(path: str, data: bytes, program: Program, wanted: Wanted) -> Iterator[tuple]:
-    scanner, parser = _tools(program)
-    found, failed = scanner.scan(data)
-    tokens = [t for t in found if t[0] not in scanner.skip] if scanner.skip else found
+def source_rows(tools: tuple[Scanner, PatternParser | TreeParser, Held], path: str, data: bytes, program: Program, wanted: Wanted) -> Iterator[tuple]:
+    scanner, parser, held = tools
+    kinds, starts, ends, failed = scanner.emitted(data)
+    tokens = Tokens(data, kinds, starts, ends)
     none = (None,) * 17
     if wanted.tokens is None or wanted.tokens:
-        for i, (kind, a, b) in enumerate(tokens):
-            if _in(kind, wanted.tokens):
-                yield (path, "token", i, kind, a, b, data[a:b] if _in(kind, wanted.token_texts) else None, *none)
+        for i in held.tokens(tokens) if wanted.held else tokens.of(wanted.tokens):
+            kind, a, b = tokens[i]
+            yield (path, "token", i, kind, a, b, data[a:b] if wanted.token_texts is None or kind in wanted.token_texts else None, *none)
     if failed >= 0:
         if wanted.errors:
             yield (path, "scan", None, None, failed, failed + 1, None, *none)
         return
     if program.root < 0 or not (wanted.errors or wanted.nodes is None or wanted.nodes):
         return
-    root = parser.parse([t[0] for t in tokens], program.root)
+    numbers = kinds.astype(np.uint8).tobytes() if len(program.tokens) <= 256 else kinds.tolist()
+    root = parser.parse(numbers, program.root)
     if root is None:
         if wanted.errors:
             yield (path, "parse", None, program.root, 0, len(data), None, *none)
     elif wanted.nodes is None or wanted.nodes:
-        yield from node_rows(path, data, tokens, root, program, wanted)
+        yield from node_rows(path, tokens, root, program, wanted, held if wanted.held else None)
 
 
-def node_rows(path: str, data: bytes, tokens: list[tuple[int, int, int]], root: Node, program: Program, wanted: Wanted) -> Iterator[tuple]:
+def node_rows(path: str, tokens: Tokens, root: Node, program: Program, wanted: Wanted, held: Held | None) -> Iterator[tuple]:
     """Rows of a tree's nodes, children before parents. enter and exit count steps of a depth-first walk.
 
-    Rows are made for wanted kinds alone, and texts and paths for kinds whose rules look at them.
+    Rows are made for wanted kinds alone, and texts and paths for kinds whose rules look at them. Nodes of a run are not looked at
+    one by one where no rule, or no more than the text of their one token, asks for them.
     """
     paths, gaps = program.paths, wanted.gaps
     every, texts = wanted.nodes is None, wanted.node_texts
+    data, span = tokens.data, tokens.span
     rows: list[list] = []
     ids = clock = 0
 
-    def span(n: Node) -> tuple[int, int]:
-        if n.count:
-            return tokens[n.first][1], tokens[n.first + n.count - 1][2]
-        at = tokens[n.first][1] if n.first < len(tokens) else tokens[-1][2] if tokens else 0
-        return at, at
-
     def text(n: Node) -> bytes | None:
         return data[slice(*span(n))] if texts is None or n.kind in texts else None
 
@@ -127,18 +125,28 @@ def node_rows(path: str, data: bytes, tokens: list[tuple[int, int, int]], root:
         clock += 1
         below = []
         if n.children:
-            under, before = [*above, n.kind], None
-            for i, (f, child) in enumerate(n.children):
-                if row := walk(child, n.kind, i, f, under, before):
-                    below.append(row)
-                before = child
+            under, before, i = [*above, n.kind], None, 0
+            for f, child in n.children:
+                if not isinstance(child, Run):
+                    if row := walk(child, n.kind, i, f, under, before):
+                        below.append(row)
+                    i, before = i + 1, child
+                    continue
+                at = range(child.number) if every else held.of_run(child, tokens) if held and child.kind in wanted.nodes else range(child.number) if child.kind in wanted.nodes else ()
+                first_id, first_clock = ids, clock
+                for k in at:
+                    ids, clock = first_id + k, first_clock + 2 * k
+                    if row := walk(child[k], n.kind, i + k, f, under, child[k - 1] if k else before):
+                        below.append(row)
+                ids, clock = first_id + child.number, first_clock + 2 * child.number
+                i, before = i + child.number, child[-1]
         own = ids
         ids += 1
         leave = clock
         clock += 1
         for row in below:
             row[7], row[16] = own, leave
-        if not every and n.kind not in wanted.nodes:
+        if not every and n.kind not in wanted.nodes or held and not held.node(n, parent_kind, above, left, tokens):
             return None
         a, b = span(n)
         row = [path, "node", own, n.kind, a, b, text(n) if texts is None or texts else None, None, parent_kind, ordinal, name, above, n.first, n.count, enter, leave, None, len(above), None, None, None, None, None, 0]
@@ -167,6 +175,7 @@ def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> Data
         rows: list[tuple] = []
         of: list[int] = []  # the source of each row: equal paths are told apart by it
         source = TaskContext.get().partitionId() << 33
+        tools = _tools(program)
 
         def batch_of() -> pa.RecordBatch:
             columns = [*zip(*rows, strict=True), of]
@@ -175,7 +184,7 @@ def scan_and_parse(sources: DataFrame, program: Program, wanted: Wanted) -> Data
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 source += 1
-                for row in source_rows(path, content.as_py() or b"", program, wanted):
+                for row in source_rows(tools, path, content.as_py() or b"", program, wanted):
                     rows.append(row)
                     of.append(source)
                     if len(rows) >= ROWS:
@@ -208,7 +217,7 @@ def token_lists(sources: DataFrame, program: Program) -> DataFrame:
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, _ = _tools(program)
+        scanner = _tools(program)[0]
         for batch in batches:
             lists = []
             for content in batch.column(1):

@@ -11,7 +11,7 @@ from sourcesieve.dsl.document import Access, Document, Expr
 from sourcesieve.dsl.parser import DocumentError, parse
 from sourcesieve.operators.automaton import Scanner, Token
 from sourcesieve.operators.scope import Scope
-from sourcesieve.operators.trees import Step, TreeParser
+from sourcesieve.operators.trees import Irregular, PatternParser, Step, TreeParser
 
 SEVERITIES = ("info", "warn", "err")
 
@@ -64,8 +64,12 @@ class Program:
     def scanner(self) -> Scanner:
         return Scanner(list(self.tokens), dict(self.definitions))
 
-    def tree_parser(self) -> TreeParser:
-        return TreeParser(list(self.nodes), self.backtrack_captures)
+    def tree_parser(self) -> PatternParser | TreeParser:
+        """Both give the same trees of token numbers (bytes, for PatternParser) from the root on."""
+        try:
+            return PatternParser(list(self.nodes), self.backtrack_captures, self.root, len(self.tokens))
+        except (Irregular, RecursionError):
+            return TreeParser(list(self.nodes), self.backtrack_captures)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "scanner"}  # tasks build their own

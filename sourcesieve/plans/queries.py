@@ -328,14 +328,8 @@ def diagnostics_ordered_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(found_: DataFrame) -> DataFrame:
-    """The place of each diagnostic in the report. One row per source is ranked in one task; diagnostics are not."""
-    from pyspark.sql import Window
-
-    earlier = Window.orderBy(F.split("path", "/", -1)).rowsBetween(Window.unboundedPreceding, -1)
-    before = found_.groupBy("path").agg(F.count("*").alias("n")).select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("path").orderBy(*D.ORDER))
-    ranked = found_.withColumn("own", own).join(before, "path")
-    return ranked.select("path", "severity", "message", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), (F.col("base") + F.col("own")).alias("place"))
+    """The place of each diagnostic in the report."""
+    return D.numbered(found_).select("path", "severity", "message", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "place")
 
 
 @query(LINE_SQL + f"SELECT severity, count(*) AS n FROM ({MIXED_SQL}) GROUP BY severity")

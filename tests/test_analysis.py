@@ -1,9 +1,14 @@
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from sourcesieve.operators import diagnostics as D
+from sourcesieve.operators.frames import Wanted, scan_and_parse
 from sourcesieve.plans.analysis import Analysis
 from sourcesieve.plans.program import compile_document
+from sourcesieve.plans.queries import MIXED, placed
 from sourcesieve.sources import tables
 
 DOC = r"""
@@ -142,3 +147,73 @@ def test_token_lists_and_warnings(spark):
     assert got == {"a": [("Name", 0, 1), ("Eq", 2, 3), ("Num", 4, 5), ("Semi", 5, 6)], "b": None, "c": []}
     doc = "scope { include \"**\" } tokens { S = ' ' skip } rules { rule R { match S report info at S \"never\" } }"
     assert len(Analysis(doc).program.warnings) == 1 and run(spark, [("p", "  ")], doc) == []
+
+
+def test_places_scan_each_source_once(spark):
+    scanned = spark.sparkContext.accumulator(0)
+
+    def content(text):
+        scanned.add(1)
+        return text.encode()
+
+    df = spark.createDataFrame([(f"d{i % 9}/f{i}", f"of the and of\nof {i}\n" * (i % 4)) for i in range(200)], "path string, t string")
+    found = Analysis(MIXED).diagnostics(df.select("path", F.udf(content, "binary")("t").alias("content")))
+    rows = placed(found).orderBy("place").collect()
+    assert scanned.value == 200
+    want = [(r.path, r.severity, r.message, r.start, r.end, i) for i, r in enumerate(Analysis(MIXED).diagnostics(df.select("path", F.col("t").alias("content")), ordered=True).collect(), 1)]
+    assert [tuple(r) for r in rows] == want and len(want) == 50 * (5 + 11 + 17)
+
+
+def test_places_of_nothing_and_of_equal_paths(spark):
+    df = spark.createDataFrame([("b", b"x = 1;"), ("a", b"x = 1;"), ("b", b"x = 1;"), ("a/c", b""), ("c", None)], "path string, content binary")
+    found = Analysis(DOC).diagnostics(df)
+    assert placed(found.filter("false")).collect() == []
+    rows = placed(found).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, 13)) and [r.path for r in rows] == ["a"] * 4 + ["b"] * 8
+
+
+#: Every kind of relation, value and comparison.
+ALL = DOC.split("rules")[0] + r"""
+rules {
+  rule A { match Name where Name.text >= "b" report info at Name "a" }
+  rule B { match Name where Name.length < 2 report info at Name "b" }
+  rule C { match Name where Name.text startsWith "ab" report info at Name "c" }
+  rule D { match Num where Num.text == Num.text report info at Num "d" }
+  rule E { match Eq report info at Eq "e" }
+  info "f": Stmt + Stmt where gap.blankLines == 0
+  info "g": Stmt + Stmt where gap.length > 1
+  info "h": Item + Item where gap.text != " "
+  info "i": Stmt + Stmt where left.value.text startsWith "1"
+  info "j": Stmt + Stmt where right.value.length != left.name.length
+  info "k": Item + Item
+  info "l": Id where Id.text == "ab"
+  info "m": Id where Id.length > 1
+  info "n": Block Stmt
+  info "o": Stmt:not(Block *) where Stmt.value.text < "2"
+  info "p": Item > Stmt where Stmt.length >= 5
+  info "q": Val:not(Stmt > *)
+  info "r": Root where Root.length == 0
+  info "s": Stmt + Stmt where left.text == right.text
+}
+"""
+
+
+@pytest.mark.parametrize("document", [DOC, ALL, MIXED])
+def test_the_stage_gives_what_rules_hold_for(spark, document):
+    """The same diagnostics as from all rows, and no row without one."""
+    rng = random.Random(5)
+    names = ["a", "ab", "abc", "x", "b1"]
+
+    def stmt():
+        return f"{rng.choice(names)} = {rng.choice(['', '1', '12', '2 2'])};" + rng.choice(["", " ", "\n", "\n\n", "\n\n\n"])
+
+    texts = ["".join(rng.choice([stmt(), "{" + "".join(stmt() for _ in range(rng.randrange(4))) + "}"]) for _ in range(rng.randrange(6))) for _ in range(150)] + ["a = !", "{", "", "of and\nof and of\nof", "and\n\n\n"]
+    df = spark.createDataFrame([(f"p{i}", t.encode()) for i, t in enumerate(texts)], "path string, content binary").repartition(3).cache()
+    program = compile_document(document)
+    wanted = Wanted.by_rules(program)
+    rows = scan_and_parse(df, program, wanted)
+    some, every = (sorted(map(tuple, D.diagnostics_of(x, program).collect())) for x in (rows, scan_and_parse(df, program, replace(wanted, held=False))))
+    assert some == every and len(every) > 50
+    own = ("path", "rec", "idx")
+    assert rows.count() == D.diagnostics_of(rows, program, "rec", "idx").select(*own).distinct().count()
+    df.unpersist()

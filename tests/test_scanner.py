@@ -112,3 +112,25 @@ def test_random_grammars():
             assert program.scanner._scan_table(data) == want, tokens
             assert program.scanner.scan(data) == want, tokens
     assert fast > 20
+
+
+@pytest.mark.parametrize(
+    "tokens",
+    [
+        "W = ('a'|'b')+ N = 'c'",
+        "W = ('a'|'b')+ N = 'c' F = fallback",
+        "W = ('a'|'b')+ skip N = 'c' F = fallback skip",
+        "W = ('a'|'b')+ N = 'c' skip M = \"c\" D = 'd'|'e'",
+        'K = "ab" W = (\'a\'|\'b\')+ F = fallback',
+        "W = 'a' ('a'|'b')* F = fallback",
+        "A = 'a' 'b'? 'c' F = fallback skip",
+    ],
+)
+def test_columns_of_emitted_tokens(tokens):
+    s = scanner(tokens)
+    rng = random.Random(3)
+    for n in [0, 1, 1, 2, 2, *range(60)]:
+        data = bytes(rng.choice(b"aabbcde\xc3") for _ in range(n))
+        found, failed = s.scan(data)
+        *columns, failed_ = s.emitted(data)
+        assert (list(zip(*(c.tolist() for c in columns), strict=True)), failed_) == ([t for t in found if t[0] not in s.skip], failed)

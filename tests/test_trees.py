@@ -2,7 +2,9 @@
 
 import random
 
-from sourcesieve.operators.trees import Step, TreeParser, first_field
+import pytest
+
+from sourcesieve.operators.trees import Irregular, PatternParser, Run, Step, TreeParser, first_field
 
 
 def naive(nodes, tokens, root, backtrack=False):
@@ -113,3 +115,64 @@ def test_first_field():
     nodes = [Step("seq", (Step("capture", (Step("node", index=1),), field="a"), Step("capture", (Step("repeat", (Step("node", index=1),)),), field="a"))), leaf]
     root = TreeParser(nodes).parse([0, 0, 0], 0)
     assert first_field(root, ("a",)).first == 0 and first_field(root, ("a", "b")) is None
+
+
+def spelled(n):
+    """A tree as nested tuples, runs written out."""
+    if n is None:
+        return None
+    below = [(f, spelled(c)) for f, x in n.children for c in ([x[i] for i in range(x.number)] if isinstance(x, Run) else [x])]
+    return n.kind, n.first, n.count, below
+
+
+def test_patterns_give_the_same_trees():
+    rng = random.Random(11)
+
+    def some(depth, kind, n):
+        match rng.choice(["token", "token", "any", "node", "alt", "group", "repeat", "seq", "capture"] if depth else ["token", "node"]):
+            case "token":
+                return Step("token", index=rng.randrange(3))
+            case "any":
+                return Step("any")
+            case "node":
+                return Step("node", index=rng.randrange(kind + 1, n)) if kind + 1 < n else Step("token", index=rng.randrange(3))
+            case "repeat":
+                least, most = rng.choice([(0, None), (1, None), (0, 1)])
+                return Step("repeat", (some(depth - 1, kind, n),), least=least, most=most)
+            case "capture":
+                return Step("capture", (some(depth - 1, kind, n),), field=rng.choice("fg"))
+            case ("alt" | "seq") as name:
+                return Step(name, tuple(some(depth - 1, kind, n) for _ in range(rng.randrange(2, 4))))
+        return Step("group", (some(depth - 1, kind, n),))
+
+    made = matched = 0
+    while made < 1500:
+        n = rng.randrange(1, 5)
+        nodes, backtrack = [some(3, k, n) for k in range(n)], rng.random() < 0.3
+        try:
+            parser = PatternParser(nodes, backtrack, 0, 3)
+        except Irregular:
+            continue
+        made += 1
+        for _ in range(10):
+            tokens = bytes(rng.choices(range(3), k=rng.randrange(9))) if rng.random() < 0.6 else bytes([rng.randrange(3)]) * rng.randrange(9)
+            found = spelled(parser.parse(tokens, 0))
+            assert found == spelled(TreeParser(nodes, backtrack).parse(list(tokens), 0)), (nodes, tokens)
+            matched += found is not None
+    assert matched > 500
+
+
+def test_what_patterns_refuse():
+    token, node = Step("token", index=0), Step("node", index=1)
+    many = Step("repeat", (token,))
+    sentence = Step("seq", (many, Step("token", index=1)))
+    for nodes in (
+        [Step("seq", (token, Step("repeat", (Step("node", index=0),), most=1)))],  # recursion
+        [Step("repeat", (Step("group", (many,)),))],  # repeats what may be empty
+        [Step("repeat", (Step("alt", (node, token)),)), Step("seq", (Step("capture", (many,), field="f"), Step("token", index=1)))],  # each place reads on to the end
+        [sentence],  # gives iterations back
+    ):
+        with pytest.raises(Irregular):
+            PatternParser(nodes, False, 0, 2)
+    with pytest.raises(Irregular):
+        PatternParser([token], False, 0, 257)
